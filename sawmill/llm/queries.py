@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, quality_rules, sharding
+from . import ann, language_id, mixing, near_dedup, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_hash_tree_sharding": sharding.op1,
         "op3_flow_mixing": mixing.op3,
+        "op5_cross_polytope_search": ann.op5,
         "op6_line_frequency_rules": quality_rules.op6,
         "op8_mixture_language_id": language_id.op8,
+        "op9_near_duplicates": near_dedup.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_flow_mixing": mixing.OP3_SQL, "op6_line_frequency_rules": quality_rules.OP6_SQL}
+    return {"op3_flow_mixing": mixing.OP3_SQL, "op6_line_frequency_rules": quality_rules.OP6_SQL, "op9_near_duplicates": near_dedup.OP9_SQL}
