@@ -9,7 +9,7 @@ sets. 32 bands of 5 rows miss a pair at similarity 0.8 with probability 3e-6.
 Scale. Equal sets are one node. In each bucket of a band every set is compared with a centre, picked by a
 hash that differs between bands, so a bucket of m sets gives m - 1 pairs. Confirmed links are joined to
 components; buckets that still hold several components then give the pairs across components (filtered by
-size, which decides exactly, and by their sketches' agreement), until a pass finds no new link. Nothing is
+size, which decides exactly, and by their sketches' agreement), and these are confirmed too. Nothing is
 capped: no link that would join two components is left unchecked, while links within a component need not
 be listed.
 
@@ -167,22 +167,20 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     # Sketches of a linked pair agree in fewer than this many of 160 bins with probability below 1e-7.
     bins = bands * rows
     least = int(percent / 100 * bins - 5.5 * (percent / 100 * (1 - percent / 100) * bins) ** 0.5)
-    while True:
-        now = members.select("band", "h", "sid", "n").join(groups.select(F.col("node").alias("sid"), F.col("component").alias("g")), "sid", "left").withColumn("g", F.coalesce("g", "sid"))
-        torn = now.groupBy("band", "h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 != g2").select("band", "h")
-        some = written(now.join(torn, ["band", "h"]), "torn")
-        left, right = (some.select("band", "h", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "g")]) for i in (1, 2))
-        across = left.join(right, ["band", "h"]).filter((F.col("sid1") < F.col("sid2")) & (F.col("g1") != F.col("g2")) & fits(F.col("n1"), F.col("n2")))
-        pairs = across.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        small = sets.select("sid", "small")
-        alike = pairs.join(small.select(F.col("sid").alias("a"), F.col("small").alias("x")), "a").join(small.select(F.col("sid").alias("b"), F.col("small").alias("y")), "b")
-        more = written(alike.filter(alike_bytes(F.col("x"), F.col("y"), least)).select("a", "b"), "pairs")
-        if not more.limit(1).count():
-            break
+    now = members.select("band", "h", "sid", "n").join(groups.select(F.col("node").alias("sid"), F.col("component").alias("g")), "sid", "left").withColumn("g", F.coalesce("g", "sid"))
+    torn = now.groupBy("band", "h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 != g2").select("band", "h")
+    some = written(now.join(torn, ["band", "h"]), "torn")
+    left, right = (some.select("band", "h", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "g")]) for i in (1, 2))
+    across = left.join(right, ["band", "h"]).filter((F.col("sid1") < F.col("sid2")) & (F.col("g1") != F.col("g2")) & fits(F.col("n1"), F.col("n2")))
+    pairs = across.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    small = sets.select("sid", "small")
+    alike = pairs.join(small.select(F.col("sid").alias("a"), F.col("small").alias("x")), "a").join(small.select(F.col("sid").alias("b"), F.col("small").alias("y")), "b")
+    more = written(alike.filter(alike_bytes(F.col("x"), F.col("y"), least)).select("a", "b"), "pairs")
+    if more.limit(1).count():
         new = confirmed(more, names, docs, text_col, width, percent, broadcast_keys)
+        # Every pair across components that can be a link has now been confirmed or refuted.
         if new.limit(1).count():
             groups = written(components(links.union(new)), "components")
-        break  # every pair across components that can be a link has now been confirmed or refuted
     return all_rows, groups
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, mixing, near_dedup, quality_rules, sharding
+from . import ann, language_id, mixing, near_dedup, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_line_frequency_rules": quality_rules.op6,
         "op8_mixture_language_id": language_id.op8,
         "op9_near_duplicates": near_dedup.op9,
+        "op10_compact_window_passages": substring_dedup.op10,
     }
 
 
