@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, mixing, near_dedup, quality_rules, sharding, substring_dedup
+from . import ann, html_extract, language_id, mixing, near_dedup, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_hash_tree_sharding": sharding.op1,
         "op3_flow_mixing": mixing.op3,
+        "op4_template_extraction": html_extract.op4,
         "op5_cross_polytope_search": ann.op5,
         "op6_line_frequency_rules": quality_rules.op6,
         "op8_mixture_language_id": language_id.op8,
