@@ -77,13 +77,49 @@ class Vocabulary:
         if NONE in self.byte:
             raise ValueError("the vocabulary needs byte pieces")
         self.logp, self.longest = logp, max(map(len, self.ids))
-        self.begins = {p[:j] for p in self.ids for j in range(1, len(p) + 1)}
+        self._table()
+
+    def _table(self) -> None:
+        """Hash tables of all beginnings of pieces: slot -> (hash, piece or NONE). What finds its slot taken goes to the next table."""
+        begins = sorted({p[:j] for p in self.ids for j in range(1, len(p) + 1)})
+        value = np.array([self.ids.get(b, NONE) for b in begins], dtype=np.uint16)
+        key = np.zeros(len(begins), dtype=np.uint64)
+        for j in range(self.longest):
+            has = [i for i, b in enumerate(begins) if len(b) > j]
+            key[has] = next_hash(key[has], np.array([ord(begins[i][j]) for i in has], dtype=np.uint32))
+        self.tables, left = [], np.arange(len(begins))
+        while len(left):
+            slot = (key[left] >> np.uint64(46)).astype(np.int64)
+            _, first = np.unique(slot, return_index=True)
+            keys, values = np.zeros(1 << 18, np.uint64), np.full(1 << 18, NONE, np.uint16)
+            keys[slot[first]], values[slot[first]] = key[left[first]], value[left[first]]
+            self.tables.append((keys, values))
+            left = np.delete(left, first)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether keys are beginnings of pieces, and the pieces they are (NONE where they are none)."""
+        slot = (key >> np.uint64(46)).astype(np.int64)
+        found, value = np.zeros(len(key), dtype=bool), np.full(len(key), NONE, np.uint16)
+        for i, (keys, values) in enumerate(self.tables):
+            if i:
+                open_ = np.flatnonzero(~found)
+                hit = open_[keys[slot[open_]] == key[open_]]
+            else:
+                hit = np.flatnonzero(keys[slot] == key)
+            found[hit], value[hit] = True, values[slot[hit]]
+        return found, value
 
     def decode(self, ids) -> str:
         text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "surrogatepass")
         return text[1:] if text else text
 
 
+def next_hash(key: np.ndarray, code: np.ndarray) -> np.ndarray:
+    with quiet():
+        x = (key ^ (code.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ x >> np.uint64(29)
+
+
 class Lattices:
     """Forward sums of units. A state is the end of a prefix; its row has, for each piece length, the
     cumulated probability that the last piece of the prefix has at most this length, and the piece."""
@@ -114,21 +150,21 @@ class Lattices:
         v, k, n = self.v, self.v.longest, len(own)
         pid = np.full((n, length, k), NONE, dtype=np.uint16)
         score = np.full((n, length, k), -np.inf)
-        at, ids = [], []
-        get, begins = v.ids.get, v.begins
-        for j, u in enumerate(own):
-            for a in range(length):
-                for b in range(a + 1, min(length, a + k) + 1):
-                    piece = u[a:b]
-                    if piece not in begins:
-                        break
-                    if (i := get(piece)) is not None:
-                        at.append((j * length + b - 1) * k + b - a - 1)
-                        ids.append(i)
-        if at:
-            at, ids = np.array(at), np.array(ids)
-            pid.ravel()[at] = ids
-            score.ravel()[at] = v.logp[ids]
+        codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, length)
+        row, begin = np.divmod(np.arange(n * length), length)
+        key = np.zeros(n * length, dtype=np.uint64)
+        flat = codes.ravel()
+        for size in range(1, k + 1):  # beginnings of pieces grow by a character; others drop out
+            key = next_hash(key, flat[row * length + begin + size - 1])
+            found, value = v.find(key)
+            own_piece = np.flatnonzero(value != NONE)
+            end = begin[own_piece] + size - 1
+            pid[row[own_piece], end, size - 1] = value[own_piece]
+            score[row[own_piece], end, size - 1] = v.logp[value[own_piece]]
+            go = found & (begin + size < length)
+            row, begin, key = row[go], begin[go], key[go]
+            if not len(row):
+                break
         for j, e in np.argwhere(pid[:, :, 0] == NONE):  # characters outside the vocabulary are written as bytes
             raw = own[j][e].encode("utf-8", "surrogatepass")
             score[j, e, 0] = len(raw) * v.logp[NONE]
