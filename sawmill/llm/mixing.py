@@ -26,7 +26,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -120,14 +120,21 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int], max_repeats
 def sized(docs: DataFrame, id_col: str, text_col: str, members: str, seed: int) -> DataFrame:
     """A narrow row for each document: id, size, member sources (sorted, null last), order and bucket."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    member = F.array_sort(F.array_distinct(F.col(members))) if members_is_array(docs, members) else F.array(F.col(members).cast("string"))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), member.alias("members"), order.alias("place"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), member_list(docs, members).alias("members"), place_of(id_col, text_col, seed).alias("place"))
     return rows.withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
 
 
-def members_is_array(docs: DataFrame, members: str) -> bool:
-    return docs.schema[members].dataType.typeName() == "array"
+def place_of(id_col: str, text_col: str, seed: int) -> Column:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
+
+
+def member_list(docs: DataFrame, members: str) -> Column:
+    """The member sources in code-point order, null last. A row without any belongs to the null source."""
+    if docs.schema[members].dataType.typeName() != "array":
+        return F.array(F.col(members).cast("string"))
+    some = F.array_sort(F.array_distinct(F.col(members)))
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit(None).cast("string")))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, max_repeats: int = 3, seed: int = 11, max_patterns: int = 10_000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -184,21 +191,18 @@ def ends(flows: dict[str | None, int]) -> list[int]:
     return out
 
 
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: str = "source", seed: int = 11, **options) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    seed = options.get("seed", 11)
-    mixed = mix_documents(docs, **options)
+    mixed = mix_documents(docs, id_col, text_col, members, seed=seed, **options)
     # Equal rows stand in one place of the order; together they have this many copies.
-    taken = mixed.groupBy("place", "members").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))).cast("binary"))
-    # copies // rows for each of the equal rows, and the rest for the first ones in a bucket of one place
-    at = docs.withColumn("__place", place).withColumn("__m", F.array(F.col("source").cast("string")))
-    joined = at.join(taken.filter("copies > 0"), (F.col("__place") == F.col("place")) & F.col("__m").eqNullSafe(F.col("members")))
-    nth = F.row_number().over(Window.partitionBy("__place", "__m").orderBy("__place"))
-    once = joined.filter("rows = 1").withColumn("__n", F.col("copies"))
-    more = joined.filter("rows > 1").withColumn("__n", F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0))
-    both = once.unionByName(more)
-    return both.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int")))).filter("__i > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mixed.groupBy(F.col("place").alias("__at"), "members").agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).cast("int").alias("__rows")).filter("__copies > 0").withColumnRenamed("members", "__from")
+    place = place_of(id_col, text_col, seed)
+    joined = docs.withColumns({"__place": place, "__members": member_list(docs, members)}).join(taken, (F.col("__place") == F.col("__at")) & F.col("__members").eqNullSafe(F.col("__from")))
+    joined = written(joined.drop("__at", "__from"), "mixed")
+    one = Window.partitionBy("__place", "__members").orderBy("__place")
+    once = joined.filter("__rows = 1").withColumn("__n", F.col("__copies"))
+    more = joined.filter("__rows > 1").withColumn("__n", (F.floor(F.col("__copies") / F.col("__rows")) + (F.row_number().over(one) <= F.col("__copies") % F.col("__rows")).cast("int")).cast("int"))
+    return once.unionByName(more).filter("__n > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
