@@ -8,10 +8,11 @@ sets. 32 bands of 5 rows miss a pair at similarity 0.8 with probability 3e-6.
 
 Scale. Equal sets are one node. In each bucket of a band every set is compared with a centre, picked by a
 hash that differs between bands, so a bucket of m sets gives m - 1 pairs. Confirmed links are joined to
-components; buckets that still hold several components then give the pairs across components (filtered by
-size, which decides exactly, and by their sketches' agreement), and these are confirmed too. Nothing is
-capped: no link that would join two components is left unchecked, while links within a component need not
-be listed.
+components, and buckets that still hold several components get a second centre. What is torn even then is
+compared in full across its components: buckets of up to 16 sets as pairs, larger ones in pairs of blocks
+of 256 sets whose intersections are one matrix product each, of which only links that join components
+leave the task. Nothing is capped: no link that would join two components is left unchecked, while links
+within a component need not be listed.
 
 Defined cases: null or wordless texts have no shingle, link with nothing and are components of their own;
 texts shorter than a shingle are one shingle; equal sets are linked; a null doc_id takes part but never
@@ -81,7 +82,7 @@ def set_id(s: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1, k2 (of the text), n_shingles, sid, bands, small (a byte of each bin), written to the shared folder."""
+    """doc_id, k1, k2 (of the text), n_shingles, sid, bands, written to the shared folder."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -93,20 +94,19 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
             for text in batch["text"]:
                 s = shingles(text, width, known)
                 if not len(s):
-                    out.append((0, None, None, None))
+                    out.append((0, None, None))
                     continue
                 values = sketch(s, bands * rows)
-                out.append((len(s), set_id(s), band_hashes(values, bands, rows), values.astype(np.uint8).tobytes()))
-            got = pd.DataFrame(out, columns=["n_shingles", "sid", "bands", "small"])
+                out.append((len(s), set_id(s), band_hashes(values, bands, rows)))
+            got = pd.DataFrame(out, columns=["n_shingles", "sid", "bands"])
             yield pd.concat([batch.drop(columns=["text"]).reset_index(drop=True), got], axis=1)
 
     keyed = own.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
-    return written(keyed.mapInPandas(run, f"doc_id {kind}, k1 long, k2 long, n_shingles long, sid binary, bands array<long>, small binary"), "sketches")
+    return written(keyed.mapInPandas(run, f"doc_id {kind}, k1 long, k2 long, n_shingles long, sid binary, bands array<long>"), "sketches")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, broadcast_keys: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose full sets are similar enough. sets: sid, k1, k2 of a text that has the set."""
-    asked = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
+def full_sets(asked: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int, broadcast_keys: int) -> DataFrame:
+    """sid, s (the set's hashes in order) of the asked set ids s. sets: sid, k1, k2 of a text that has the set."""
     keys = written(sets.join(asked, F.col("sid") == F.col("s")).select("sid", "k1", "k2"), "asked")
     few = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
     bytes_ = text_bytes(text_col)
@@ -118,7 +118,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
             yield pd.DataFrame({"sid": batch["sid"], "s": [shingles(t, width, known).tobytes() for t in batch["text"]]})
 
     found = texts.join(F.broadcast(keys) if few else keys, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("sid", "text")
-    full = written(found.dropDuplicates(["sid"]).mapInPandas(hashed, "sid binary, s binary"), "sets")
+    return written(found.dropDuplicates(["sid"]).mapInPandas(hashed, "sid binary, s binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose full sets are similar enough."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -136,23 +140,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
     return written(both.mapInPandas(check, "a binary, b binary"), "links")
 
 
-def alike_bytes(x, y, least: int):
-    """Whether two byte strings agree in at least `least` places, by a UDF over Arrow batches."""
-
-    def run(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([int((np.frombuffer(a, dtype=np.uint8) == np.frombuffer(b, dtype=np.uint8)).sum()) >= least for a, b in zip(p, q, strict=True)], dtype=bool)
-
-    from pyspark.sql.types import BooleanType
-
-    return F.pandas_udf(run, BooleanType())(x, y)
+def block_links(own: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links (a, b) that join components among the sets of two blocks. own: side, sid, g, s. Intersections are
+    matrix products over slices of the blocks' elements."""
+    sides = [own[own["side"] == k] for k in (0, 1)]
+    if own["same"].iloc[0]:
+        sides[1] = sides[0]
+    sets = [[np.frombuffer(x, dtype=np.uint64) for x in side["s"]] for side in sides]
+    if not sets[0] or not sets[1]:
+        return []
+    every = np.unique(np.concatenate([np.concatenate(x) for x in sets]))
+    both = np.zeros((len(sets[0]), len(sets[1])), dtype=np.float32)
+    places = [(np.repeat(np.arange(len(x)), [len(y) for y in x]), np.searchsorted(every, np.concatenate(x))) for x in sets]
+    for at in range(0, len(every), 8192):
+        part = []
+        for (row, place), x in zip(places, sets, strict=True):
+            m = np.zeros((len(x), min(8192, len(every) - at)), dtype=np.float32)
+            here = (place >= at) & (place < at + 8192)
+            m[row[here], place[here] - at] = 1
+            part.append(m)
+        both += part[0] @ part[1].T
+    n, m = (np.array([len(y) for y in x], dtype=np.float64) for x in sets)
+    both = both.astype(np.float64)
+    ids, groups = [side["sid"].tolist() for side in sides], [side["g"].tolist() for side in sides]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(100 * both >= percent * (n[:, None] + m[None, :] - both)):
+        a, b = find(groups[0][i]), find(groups[1][j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[0][i], ids[1][j]))
+    return out
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, broadcast_keys: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 256, broadcast_keys: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, sid -> component sid for the sets that are linked)."""
     all_rows = sketched(docs, id_col, text_col, width, bands, rows)
     sets = written(
-        all_rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("small").alias("small"))
-        .select("sid", "k.k1", "k.k2", "n", "bands", "small"), "distinct-sets",
+        all_rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .select("sid", "k.k1", "k.k2", "n", "bands"), "distinct-sets",
     )
     each = sets.select("sid", "n", F.posexplode("bands").alias("band", "h"))
     order = F.struct(F.xxhash64("sid", "band").alias("o"), F.col("sid").alias("c"), F.col("n").alias("cn"))
@@ -161,29 +193,50 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     fits = lambda p, q: (100 * F.least(p, q) >= percent * F.greatest(p, q))
     star = members.filter(F.col("sid") != F.col("c")).filter(fits(F.col("n"), F.col("cn"))).select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b")).distinct()
     names = sets.select("sid", "k1", "k2")
-    tested = written(star, "pairs")
-    links = confirmed(tested, names, docs, text_col, width, percent, broadcast_keys)
-    groups = written(components(links), "components")
-    # Sketches of a linked pair agree in fewer than this many of 160 bins with probability below 1e-7.
-    bins = bands * rows
-    least = int(percent / 100 * bins - 5.5 * (percent / 100 * (1 - percent / 100) * bins) ** 0.5)
-    now = members.select("band", "h", "sid", "n").join(groups.select(F.col("node").alias("sid"), F.col("component").alias("g")), "sid", "left").withColumn("g", F.coalesce("g", "sid"))
-    torn = now.groupBy("band", "h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 != g2").select("band", "h")
-    some = written(now.join(torn, ["band", "h"]), "torn")
-    left, right = (some.select("band", "h", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "g")]) for i in (1, 2))
+    full = full_sets(members.select(F.col("sid").alias("s")).distinct(), names, docs, text_col, width, broadcast_keys)
+    links = confirmed(written(star, "pairs"), full, percent)
+    links, groups = again(links, components(links))
+
+    def torn(groups: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components, with their component g."""
+        now = members.select("band", "h", "sid", "n").join(groups.select(F.col("node").alias("sid"), F.col("component").alias("g")), "sid", "left").withColumn("g", F.coalesce("g", "sid"))
+        other = F.struct(F.xxhash64(F.lit(1), "sid", "band").alias("o"), F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("g").alias("cg"))
+        found = now.groupBy("band", "h").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.count(F.lit(1)).alias("size"), F.min(other).alias("m")).filter("g1 != g2")
+        return written(now.join(found.select("band", "h", "size", "m.c", "m.cn", "m.cg"), ["band", "h"]), "torn")
+
+    some = torn(groups)
+    second = some.filter((F.col("g") != F.col("cg")) & fits(F.col("n"), F.col("cn"))).select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b")).distinct()
+    links, groups = again(links.union(confirmed(written(second, "pairs"), full, percent)), None)
+
+    some = torn(groups)
+    left, right = (some.filter(F.col("size") <= 16).select("band", "h", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "g")]) for i in (1, 2))
     across = left.join(right, ["band", "h"]).filter((F.col("sid1") < F.col("sid2")) & (F.col("g1") != F.col("g2")) & fits(F.col("n1"), F.col("n2")))
-    pairs = across.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    small = sets.select("sid", "small")
-    alike = pairs.join(small.select(F.col("sid").alias("a"), F.col("small").alias("x")), "a").join(small.select(F.col("sid").alias("b"), F.col("small").alias("y")), "b")
-    more = written(alike.filter(alike_bytes(F.col("x"), F.col("y"), least)).select("a", "b"), "pairs")
-    if more.limit(1).count():
-        new = confirmed(more, names, docs, text_col, width, percent, broadcast_keys)
-        # Every pair across components that can be a link has now been confirmed or refuted.
-        if new.limit(1).count():
-            groups = written(components(links.union(new)), "components")
+    few = confirmed(written(across.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct(), "pairs"), full, percent)
+    more = in_blocks(some.filter(F.col("size") > 16), full, percent, block)
+    # Every pair across components that can be a link has now been confirmed or refuted.
+    new = written(few.union(more), "links")
+    if new.limit(1).count():
+        links, groups = again(links.union(new), None)
     return all_rows, groups
 
 
+def again(links: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    return links, written(components(links) if groups is None else groups, "components")
+
+
+def in_blocks(some: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links that join components within large buckets; a bucket of m sets is (m / block) ** 2 / 2 tasks' groups."""
+    cut = some.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "sid"), "blocks").cast("int"))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = each.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"), "sid", "g")
+    rows = keyed.join(full, "sid")
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(own, percent), columns=["a", "b"])
+
+    return rows.groupBy("band", "h", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, k1, k2, n_shingles, component_id (the smallest doc_id reachable) and kept, a row for each row."""
     rows, groups = linked(docs, id_col, text_col, **options)
