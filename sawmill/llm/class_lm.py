@@ -57,6 +57,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of the highest classes of frequency (32 for each doubling) that together are at most `most`, by count and
+    then bytes, and their counts. Classes are counted first, so no task or driver sorts more words than these."""
+    level = F.floor(F.log2("n") * 32).cast("int")
+    short = vocabulary.filter(F.length("word") <= LONGEST)
+    sizes = sorted(short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["level"])
+    least, total = None, 0
+    for r in sizes:
+        if total + r["words"] > most:
+            break
+        least, total = r["level"], total + r["words"]
+    if least is None:
+        return [], np.empty(0)
+    top = short.filter(level >= least).toPandas()
+    words, counts = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.float64)
+    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+    return [words[i] for i in order], counts[order]
+
+
 def encoded(docs: DataFrame, words: list[bytes], units: int, endings: int) -> DataFrame:
     """rid, doc_id, held_out, n_words, units (16 bits each), seen and times (dictionary words and how often, 32 bits each), and
     all other words with their counts; written to the shared folder. docs: doc_id, held_out, text."""
@@ -193,8 +212,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(text_col).alias("text"))
     vocabulary = written(word_counts(own.filter(~F.col("held_out"))), "vocabulary")
-    top = vocabulary.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(dictionary).toPandas()
-    known, counts = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.float64)
+    known, counts = frequent(vocabulary, dictionary)
     rows = encoded(own, known, units, endings)
     train = rows.filter(~F.col("held_out"))
     classes = cluster(train, units + endings, k, rounds)
