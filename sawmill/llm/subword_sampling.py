@@ -23,13 +23,14 @@ the text back, character for character, also for blanks in a row, line breaks an
 vocabulary.
 
 Defined cases: null and empty texts give one empty segmentation (log_prob 0, inclusion 1); a text with fewer
-than k segmentations gives all of them (inclusion 1; what has less than 1e-14 of a unit's probability is not told
+than k segmentations gives all of them (inclusion 1; what has less than 1e-12 of a unit's probability is not told
 from rounding and not sampled); rows with equal keys share their random numbers; a
 null id is a key of its own; long texts are one lattice, whatever their length. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -44,9 +45,11 @@ from .common import mix, quiet, small_batches, table
 #: The public vocabulary file that the query uses; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
-CACHED_UNITS = 120_000
+#: Units whose lattices are kept from slice to slice, and how many of them (the most used) outlive an overflow.
+CACHED_UNITS, KEPT_UNITS = 220_000, 110_000
 SLICE_CHARS = 2_000_000
 NONE = 65535
+BELOW_ONE = 1 - 2**-24
 
 
 class Vocabulary:
@@ -122,7 +125,8 @@ def next_hash(key: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 class Lattices:
     """Forward sums of units. A state is the end of a prefix; its row has, for each piece length, the
-    cumulated probability that the last piece of the prefix has at most this length, and the piece."""
+    cumulated probability that the last piece of the prefix has at most this length, and the piece. Single
+    precision: draws tell odds down to 6e-8 apart; log probabilities are sums of scores in full precision."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -130,13 +134,30 @@ class Lattices:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.base: list[int] = []
         self.names: list[str] = []
-        self.total: list[float] = []
-        self.cum = np.zeros((1 << 16, self.v.longest))
+        self.base = np.zeros(0, dtype=np.int64)
+        self.length = np.zeros(0, dtype=np.int64)
+        self.total = np.zeros(0)
+        self.only = np.zeros(0, dtype=bool)  # whether the unit has a single segmentation
+        self.uses = np.zeros(0, dtype=np.int64)
+        self.exactly: dict[str, tuple] = {}
+        self.cum = np.zeros((1 << 16, self.v.longest), dtype=np.float32)
         self.pid = np.zeros((1 << 16, self.v.longest), dtype=np.uint16)
         self.used = 0
 
+    def shrink(self) -> None:
+        """Keeps the most used units; counts of use are halved."""
+        keep = np.sort(np.argpartition(-self.uses, KEPT_UNITS)[:KEPT_UNITS])
+        size = self.length[keep]
+        start = np.cumsum(size) - size
+        rows = np.repeat(self.base[keep] - start, size) + np.arange(int(size.sum()))
+        self.cum, self.pid = self.cum[rows], self.pid[rows]
+        self.used = len(rows)
+        names = self.names
+        self.names = [names[i] for i in keep.tolist()]
+        self.base, self.length, self.total, self.only, self.uses = start, size, self.total[keep], self.only[keep], self.uses[keep] // 2
+        self.of = {u: i for i, u in enumerate(self.names)}
+
     def add(self, units: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for u in units:
@@ -145,9 +166,11 @@ class Lattices:
             step = max(1, 400_000 // (length * self.v.longest))
             for i in range(0, len(own), step):
                 self._add(own[i : i + step], length)
+        self.uses = np.concatenate((self.uses, np.zeros(len(self.names) - len(self.uses), dtype=np.int64)))
 
     def _add(self, own: list[str], length: int) -> None:
-        v, k, n = self.v, self.v.longest, len(own)
+        v, n = self.v, len(own)
+        k = min(v.longest, length)
         pid = np.full((n, length, k), NONE, dtype=np.uint16)
         score = np.full((n, length, k), -np.inf)
         codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, length)
@@ -182,43 +205,70 @@ class Lattices:
                 alpha[:, e] = top + np.log(c[:, -1])
                 cum[:, e - 1, :w] = c / c[:, -1:]
                 cum[:, e - 1, w:] = 1
-        while self.used + n * length > len(self.cum):
-            self.cum = np.concatenate((self.cum, np.zeros_like(self.cum)))
-            self.pid = np.concatenate((self.pid, np.zeros_like(self.pid)))
-        self.cum[self.used : self.used + n * length] = cum.reshape(-1, k)
-        self.pid[self.used : self.used + n * length] = pid.reshape(-1, k)
-        for j, u in enumerate(own):
-            self.of[u] = len(self.base)
-            self.base.append(self.used + j * length)
-            self.names.append(u)
-            self.total.append(float(alpha[j, length]))
+        if self.used + n * length > len(self.cum):
+            more = max(len(self.cum), n * length)
+            self.cum = np.concatenate((self.cum, np.zeros((more, v.longest), dtype=np.float32)))
+            self.pid = np.concatenate((self.pid, np.zeros((more, v.longest), dtype=np.uint16)))
+        self.cum[self.used : self.used + n * length, :k] = cum.reshape(-1, k)
+        self.cum[self.used : self.used + n * length, k:] = 1
+        self.pid[self.used : self.used + n * length, :k] = pid.reshape(-1, k)
+        only = (np.isfinite(score).sum(2) <= 1).all(1)
+        self.of.update(zip(own, range(len(self.names), len(self.names) + n), strict=True))
+        self.names += own
+        more = (self.used + np.arange(n) * length, np.full(n, length), alpha[:, length], only)
+        self.base, self.length, self.total, self.only = (np.concatenate(x) for x in zip((self.base, self.length, self.total, self.only), more, strict=True))
         self.used += n * length
 
+    def exact(self, unit: int) -> tuple[list[list[tuple[int, float]]], list[float]]:
+        """For each end of a prefix the (length, log probability) of its last pieces, and all forward sums, in full precision."""
+        name = self.names[unit]
+        if (known := self.exactly.get(name)) is not None:
+            return known
+        v, alpha, last = self.v, [0.0], []
+        for e in range(1, len(name) + 1):
+            some = []
+            for n in range(1, min(e, v.longest) + 1):
+                if (i := v.ids.get(name[e - n : e])) is not None:
+                    some.append((n, float(v.logp[i])))
+                elif n == 1:
+                    some.append((1, len(name[e - 1].encode("utf-8", "surrogatepass")) * float(v.logp[NONE])))
+            x = [alpha[e - n] + p for n, p in some]
+            top = max(x)
+            alpha.append(top + math.log(sum(math.exp(y - top) for y in x)))
+            last.append(some)
+        if len(self.exactly) > 20_000:
+            self.exactly.clear()
+        self.exactly[name] = last, alpha
+        return last, alpha
+
     def another(self, unit: int, without: list[tuple], draw) -> tuple:
         """Piece lengths, last first, of a segmentation drawn from those not in `without`; draw(step) is uniform."""
-        base, end, out = self.base[unit], len(self.names[unit]), ()
+        last, alpha = self.exact(unit)
+        end, out, step = len(self.names[unit]), (), 0
         left = [(w, math.exp(self.log_prob(unit, w))) for w in without]
-        mass = 1.0  # probability of the suffix chosen so far
-        step = 0
+        log_mass = 0.0  # of the suffix chosen so far
         while end:
-            row = self.cum[base + end - 1]
-            p = np.diff(row, prepend=0.0) * mass
-            for w, m in left:
-                p[w[len(out)] - 1] -= m
-            c = np.cumsum(np.where(p > 1e-15, p, 0.0))
-            if c[-1] <= 0:
-                c = np.cumsum(np.diff(row, prepend=0.0))
-            j = int(np.searchsorted(c, draw(step) * c[-1], side="right"))
-            j = min(j, int(np.flatnonzero(np.diff(c, prepend=0.0) > 0)[-1]))
-            mass *= float(row[j] - (row[j - 1] if j else 0.0))
-            out += (j + 1,)
-            left = [(w, m) for w, m in left if w[len(out) - 1] == j + 1]
-            end -= j + 1
+            odds = []
+            for n, p in last[end - 1]:
+                mass = math.exp(log_mass + alpha[end - n] + p - alpha[end]) - sum(m for w, m in left if w[step] == n)
+                odds.append((n, p, mass if mass > 1e-15 or not any(w[step] == n for w, _ in left) else 0.0))
+            at = draw(step) * sum(x for _, _, x in odds)
+            for n, p, x in odds:
+                if x > 0:
+                    pick = n, p
+                    if at < x:
+                        break
+                    at -= x
+            n, p = pick
+            log_mass += alpha[end - n] + p - alpha[end]
+            left = [(w, m) for w, m in left if w[step] == n]
+            out += (n,)
+            end -= n
             step += 1
         return out
 
     def pieces(self, unit: int, lengths: tuple) -> list[int]:
-        base, end, out = self.base[unit], len(self.names[unit]), []
+        base, end, out = int(self.base[unit]), len(self.names[unit]), []
         for n in lengths:
             i = int(self.pid[base + end - 1, n - 1])
             out.append(i if i != NONE else -end)  # a character outside the vocabulary, by its place
@@ -226,19 +276,30 @@ class Lattices:
         return out[::-1]
 
     def log_prob(self, unit: int, lengths: tuple) -> float:
-        base, end, out = self.base[unit], len(self.names[unit]), 0.0
+        if self.only[unit]:
+            return 0.0
+        base, end, out = int(self.base[unit]), len(self.names[unit]), -float(self.total[unit])
         for n in lengths:
-            row = self.cum[base + end - 1]
-            out += math.log(max(float(row[n - 1] - (row[n - 2] if n > 1 else 0.0)), 1e-300))
+            i = int(self.pid[base + end - 1, n - 1])
+            out += self.v.logp[i] * (1 if i != NONE else len(self.names[unit][end - 1].encode("utf-8", "surrogatepass")))
             end -= n
-        return out
+        return min(out, 0.0)
 
 
 def uniform(keys: np.ndarray, sample: int, unit: np.ndarray, step: int) -> np.ndarray:
     """In (0, 1), a hash of all four."""
     with quiet():
         x = mix(keys + np.uint64(sample + 1) * np.uint64(0x9E3779B97F4A7C15) + unit.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((step + 1) * 0xA0761D6478BD642F & (1 << 64) - 1))
-    return ((mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+
+
+def uniform_one(key: int, sample: int, unit: int, step: int) -> float:
+    """uniform() for a single key."""
+    m = (1 << 64) - 1
+    x = (key + (sample + 1) * 0x9E3779B97F4A7C15 + unit * 0xD6E8FEB86659FD93 + (step + 1) * 0xA0761D6478BD642F) & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return ((x ^ x >> 31) >> 12) / float(1 << 52) + 0.5 / float(1 << 52)
 
 
 GUMBEL_STEP, ROOT_STEP = 1 << 20, 1 << 21
@@ -248,48 +309,60 @@ class Batch:
     """Texts of a slice as one long list of units, with the samples drawn so far."""
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray):
-        known = lattices.of
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if len(lattices.base) > CACHED_UNITS:
-            lattices.clear()
-            known = lattices.of
-        new = {u for own in units for u in own if u not in known}
-        if new:
-            lattices.add(sorted(new))
-        known = lattices.of
+        if len(lattices.names) > CACHED_UNITS:
+            lattices.shrink()
+        every = list(itertools.chain.from_iterable(units))
+        unit = np.fromiter(map(lattices.of.get, every, itertools.repeat(-1)), dtype=np.int64, count=len(every))
+        strange = np.flatnonzero(unit < 0).tolist()
+        if strange:
+            lattices.add(sorted({every[i] for i in strange}))
+            of = lattices.of
+            unit[strange] = [of[every[i]] for i in strange]
+        lattices.uses += np.bincount(unit, minlength=len(lattices.names))
         self.lattices, self.keys = lattices, keys
         self.n = np.array([len(u) for u in units], dtype=np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.n)))
-        self.unit = np.array([known[u] for own in units for u in own], dtype=np.int64)
+        self.unit = unit
         self.doc = np.repeat(np.arange(len(texts)), self.n)
         self.place = np.arange(len(self.unit)) - self.first[self.doc] if len(self.unit) else np.empty(0, np.int64)
-        self.base = np.array(lattices.base, dtype=np.int64)
-        self.length = np.array([len(x) for x in lattices.names], dtype=np.int64)
-        self.total = np.array(lattices.total)
+        self.base, self.length, self.total, self.only = lattices.base, lattices.length, lattices.total, lattices.only
 
     def draw(self, at: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Segmentations of the units at `at`: (pieces in order, index into `at` of each, piece lengths, log probability of each unit)."""
         cum, pid = self.lattices.cum, self.lattices.pid
         base, end = self.base[self.unit[at]], self.length[self.unit[at]].copy()
         keys, place = self.keys[self.doc[at]], self.place[at]
-        logp = np.zeros(len(at))
+        logp = -self.total[self.unit[at]]
+        score = self.lattices.v.logp
         count = np.zeros(len(at), dtype=np.int64)
         live, steps = np.arange(len(at)), []
         step = 0
         while len(live):
-            state = base[live] + end[live] - 1
-            rows = cum[state]
-            j = (rows <= uniform(keys[live], sample, place[live], step)[:, None]).sum(1)
-            here = np.arange(len(live))
-            p = rows[here, j] - np.where(j > 0, rows[here, np.maximum(j - 1, 0)], 0.0)
-            logp[live] += np.log(p)
+            last = end if step == 0 else end[live]
+            state = (base if step == 0 else base[live]) + last - 1
+            u = uniform(keys if step == 0 else keys[live], sample, place if step == 0 else place[live], step)
+            j = (cum[state] > np.minimum(u, BELOW_ONE).astype(np.float32)[:, None]).argmax(1)
             piece = pid[state, j].astype(np.int32)
-            piece = np.where(piece == NONE, -end[live], piece).astype(np.int32)
+            gain = score[piece]
+            strange = np.flatnonzero(piece == NONE)
+            if len(strange):  # characters written as several bytes
+                names, unit = self.lattices.names, self.unit[at[live[strange]]]
+                gain[strange] *= [len(names[n][e - 1].encode("utf-8", "surrogatepass")) for n, e in zip(unit, last[strange], strict=True)]
+                piece[strange] = -last[strange]
             steps.append((live, piece, (j + 1).astype(np.int32)))
-            count[live] += 1
-            end[live] -= j + 1
-            live = live[end[live] > 0]
+            left = last - j - 1
+            if step == 0:
+                logp += gain
+                count += 1
+                end = left
+            else:
+                logp[live] += gain
+                count[live] += 1
+                end[live] = left
+            live = live[left > 0]
             step += 1
+        logp = np.where(self.only[self.unit[at]], 0.0, np.minimum(logp, 0.0))
         last = np.cumsum(count)
         pieces, lengths = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int32)
         for s, (own, piece, size) in enumerate(steps):
@@ -308,14 +381,13 @@ def _log_rest(logp: np.ndarray) -> np.ndarray:
     """log(1 - exp(logp)); -inf where nothing but rounding is left."""
     with quiet():
         rest = -np.expm1(np.minimum(logp, 0.0))
-        return np.where(rest > 1e-15, np.log(np.maximum(rest, 1e-300)), -np.inf)
+        return np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
 
 
 def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple]]:
     """For each text up to k tuples (ids, log_prob, gumbel, inclusion), best perturbed first."""
     b = Batch(lattices, texts, keys)
     docs = len(texts)
-    every = np.arange(docs)
     gumbel = -np.log(-np.log(uniform(keys, 0, np.zeros(docs), ROOT_STEP)))
     samples = []  # of each: pieces, counts, lengths, starts, log probabilities, prefix sums, and the nodes' maxima
     live = np.ones(docs, dtype=bool)
@@ -363,7 +435,7 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
                 without = [*at_branch[int(d)][1], at_branch[int(d)][0]]
                 extra[t] = without
                 gone = sum(math.exp(lattices.log_prob(int(b.unit[t]), w)) for w in without)
-                rest[t] = math.log(1 - gone) if 1 - gone > 1e-14 else -np.inf
+                rest[t] = math.log(1 - gone) if 1 - gone > 1e-12 else -np.inf
         nodes = _truncated(prefix + rest, gumbel[b.doc], uniform(keys[b.doc], r, b.place, GUMBEL_STEP)) if len(b.unit) else np.empty(0)
         if r and len(b.unit):
             nodes[(b.place < branch[b.doc]) | ~live[b.doc]] = -np.inf
@@ -392,8 +464,8 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
                 s = samples[j]
                 s["nodes"][t] = -np.inf
                 without = avoided[j].get(t) or [_lengths(samples, s, t)]
-                key, place = b.keys[d : d + 1], np.array([branch[d]])
-                at_branch[int(d)] = (lattices.another(int(b.unit[t]), without, lambda step, key=key, place=place, r=r: float(uniform(key, r + 1, place, step)[0])), without)
+                key, place = int(b.keys[d]), int(branch[d])
+                at_branch[int(d)] = (lattices.another(int(b.unit[t]), without, lambda step, key=key, place=place, r=r: uniform_one(key, r + 1, place, step)), without)
     threshold = gumbel
     for r, s in enumerate(samples):
         flat, ends = _flatten(b, samples, s)
@@ -401,7 +473,6 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
             inclusion = np.where(np.isfinite(threshold), -np.expm1(-np.exp(s["total"] - threshold)), 1.0)
         for d in np.flatnonzero(s["live"]):
             out[d].append((flat[ends[b.first[d]] : ends[b.first[d + 1]]], float(s["total"][d]), float(s["gumbel"][d]), float(inclusion[d])))
-    del every
     return out
 
 
