@@ -113,12 +113,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     found = ranked(pairs(items, asks, k, block), k)
     found = written(found, "ann-found")
     # Queries that found fewer than k look at every row.
-    short = index.filter("is_query").select("rid").join(found.groupBy("q_rid").agg(F.count(F.lit(1)).alias("n")), F.col("rid") == F.col("q_rid"), "left").filter(F.coalesce("n", F.lit(0)) < k).select("rid")
+    short = index.filter("is_query").select("rid").join(found.groupBy("q_rid").agg(F.count(F.lit(1)).alias("n")), F.col("rid") == F.col("q_rid"), "left").filter(F.coalesce("n", F.lit(0)) < k).select(F.col("rid").alias("short"))
     short = written(short, "ann-short")
     if short.limit(1).count():
         every = index.select("rid", "vec_id", "v", "dim", F.lit(0).alias("t"), F.lit(0).alias("bucket"))
-        rest = ranked(pairs(every, every.join(short, "rid", "left_semi"), k, block), k)
-        found = found.join(short, F.col("q_rid") == F.col("rid"), "left_anti").unionByName(rest)
+        rest = ranked(pairs(every, every.join(short, F.col("rid") == F.col("short"), "left_semi"), k, block), k)
+        found = found.join(short, F.col("q_rid") == F.col("short"), "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
