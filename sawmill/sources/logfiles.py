@@ -277,7 +277,7 @@ def read_logs(spark: SparkSession, paths: list[str], log_format: str | None = No
     if p:
         ready = with_prefix(assembled(numbered), p)
     else:
-        formats = {log_format: None} if log_format else {r["log_format"]: None for r in detected_formats(numbered).select("log_format").distinct().collect()}
+        formats = {log_format: None} if log_format else {r["log_format"]: None for r in detected_formats(numbered).select("log_format").distinct().collect()} or {"stderr": None}
         kinds = None if log_format else detected_formats(numbered).select(F.col("source_file").alias("kf"), "log_format")
         tagged = lambda d: d.withColumn("log_format", F.lit(log_format)) if log_format else d.join(kinds, F.col("source_file") == F.col("kf")).drop("kf")
         parts = []

@@ -61,7 +61,7 @@ def read_snapshot(spark: SparkSession, path: str, form: str | None = None, time_
     if form == "csv":
         return typed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), scale)
     parts = F.split("value", r"\|")
-    table = lines.filter(F.col("value").contains("|") & ~F.col("value").rlike(r"^[\s+|-]*$")).select(F.transform(parts, F.trim).alias("c"))
+    table = lines.filter(F.col("value").contains("|") & ~F.col("value").rlike(r"^[\s+|-]*$")).select(F.transform(parts, lambda x: F.trim(x)).alias("c"))
     names = next(iter(table.limit(1).collect()), None)
     if names is None:
         return spark.createDataFrame([], SCHEMA)

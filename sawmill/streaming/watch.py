@@ -51,8 +51,8 @@ def row_alerts(entries: DataFrame, slow_ms: float = 5000.0) -> DataFrame:
 
 
 def error_rate(entries: DataFrame, errors: int = 10, window: str = "1 minute", slide: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
-    """Windows of event time with at least so many errors; complete when the watermark has passed them."""
-    rows = entries.filter(is_error()).withWatermark("timestamp", late).groupBy(F.window("timestamp", window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    """Windows of event time with at least so many errors; complete when the watermark, which all entries move, has passed them."""
+    rows = entries.withWatermark("timestamp", late).groupBy(F.window("timestamp", window, slide).alias("w")).agg(F.count_if(is_error()).alias("n"))
     return rows.filter(F.col("n") >= errors).select(F.col("w.end").alias("timestamp"), F.lit("error_rate").alias("kind"), F.lit("HIGH").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" errors since "), F.col("w.start").cast("string")).alias("message"), F.col("n").cast("double").alias("value"))
 
 
