@@ -133,3 +133,9 @@ def plan_blocks(entries: DataFrame) -> DataFrame:
 def last_before(rows: DataFrame, value: Column, key: str, order: str = "seq") -> Column:
     """The last non-null value before or at each row of a key."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def with_plans(queries: DataFrame, plans: DataFrame) -> DataFrame:
+    """Statement statistics with the number of logged plans and the slowest one, null where none was logged."""
+    own = plans.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("plans"), F.max_by("plan", F.coalesce("duration_ms", F.lit(0.0))).alias("slowest_plan"))
+    return queries.join(own, "fingerprint", "left")

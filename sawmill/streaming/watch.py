@@ -5,6 +5,9 @@ one row of one schema, whatever the sink."""
 
 from __future__ import annotations
 
+import json
+import urllib.request
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,3 +124,29 @@ def json_lines(entries: DataFrame, path: str, checkpoint: str | None = None):
     if entries.isStreaming:
         return out.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     return out.write.mode("overwrite").text(path)
+
+
+class Recent:
+    """A sink that keeps the last alerts on the driver."""
+
+    def __init__(self, most: int = 100):
+        self.alerts: deque = deque(maxlen=most)
+
+    def __call__(self, alerts: DataFrame, batch: int) -> None:
+        rows = alerts.orderBy(F.desc("timestamp")).limit(self.alerts.maxlen).collect()
+        self.alerts.extend(reversed(rows))
+
+
+def webhook(url: str, most: int = 100, timeout: float = 5.0, post: Callable[[str, bytes], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that posts each batch's alerts (the latest `most`) as JSON; post(url, body) may stand in for the request."""
+
+    def send(address: str, body: bytes) -> None:
+        request = urllib.request.Request(address, body, {"Content-Type": "application/json"})
+        urllib.request.urlopen(request, timeout=timeout).close()
+
+    def sink(alerts: DataFrame, batch: int) -> None:
+        rows = alerts.orderBy(F.desc("timestamp")).limit(most).select(F.to_json(F.struct(*alerts.columns))).collect()
+        if rows:
+            (post or send)(url, json.dumps({"batch": batch, "alerts": [json.loads(r[0]) for r in rows]}).encode())
+
+    return sink

@@ -131,3 +131,26 @@ def test_discover_and_empty(spark, files, tmp_path):
         L.raw_lines(spark, [])
     lines = L.from_lines(spark, STDERR.split("\n"))
     assert L.assembled(L.numbered_lines(lines)).count() == 5
+
+
+def test_remote(spark, tmp_path, files):
+    import functools
+    import http.server
+    import threading
+
+    from sawmill.sources import remote
+
+    files("a.log", STDERR)
+    files("b.log.gz", STDERR, gzip.open)
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        urls = [f"http://127.0.0.1:{server.server_port}/{n}" for n in ("a.log", "b.log.gz")]
+        lines = remote.http_lines(spark, urls)
+        assert L.assembled(L.numbered_lines(lines)).count() == 10
+    finally:
+        server.shutdown()
+    own = remote.command_lines(spark, {"x": ["cat", str(tmp_path / "a.log")]})
+    assert [r["text"] for r in own.orderBy("id").collect()] == STDERR.split("\n")[:-1]
+    assert remote.ssh_command("h", "/l/a b.gz", "u")[-2:] == ["u@h", "zcat '/l/a b.gz'"]

@@ -59,3 +59,35 @@ def test_json_lines(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 5 and "error_code" not in back.columns
     assert isinstance(e.first()["timestamp"], dt.datetime)
+
+
+def test_tail_of_a_growing_and_rotated_file(spark, tmp_path):
+    from sawmill.streaming.tail import tail
+
+    path = tmp_path / "live.log"
+    path.write_text("\n".join(LINES[:3]) + "\n" + "half a li")
+    seen = []
+    run = lambda: tail(spark, str(path), from_end=False).writeStream.foreachBatch(lambda df, i: seen.extend(r["text"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp"))
+    q = run().trigger(processingTime="1 second").start()
+    try:
+        q.processAllAvailable()
+        assert seen == LINES[:3]
+        with path.open("a") as f:
+            f.write("ne\n" + LINES[3] + "\n")
+        q.processAllAvailable()
+        assert seen == [*LINES[:3], "half a line", LINES[3]]
+        path.write_text(LINES[4] + "\n")
+        q.processAllAvailable()
+        assert seen[-1] == LINES[4] and len(seen) == 6
+    finally:
+        q.stop()
+
+
+def test_sinks(spark):
+    d = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, i), "deadlock", "HIGH", "m", 1.0) for i in range(5)], watch.ALERT)
+    r, sent = watch.Recent(3), []
+    r(d, 0)
+    assert [x["timestamp"].second for x in r.alerts] == [2, 3, 4]
+    watch.webhook("http://x", post=lambda url, body: sent.append((url, body)))(d, 7)
+    watch.webhook("http://x", post=lambda url, body: sent.append((url, body)))(d.limit(0), 8)
+    assert len(sent) == 1 and b'"batch": 7' in sent[0][1]
