@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_bytes, written
+from .common import release, small_batches, table, text_bytes, written
 
 END = 65535
 LONGEST = 256
@@ -137,7 +137,9 @@ def contexts(train: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarray,
 
     got = train.select("units").mapInPandas(run, "side int, at long, n long").groupBy("side", "at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((2, n * (k + 1)))
-    out[got["side"].to_numpy(dtype=int), got["at"].to_numpy(dtype=int)] = got["n"].to_numpy()
+    out[got["side"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
+    del got
+    release()
     return out[0].reshape(n, k + 1), out[1].reshape(n, k + 1)
 
 
@@ -214,17 +216,18 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     vocabulary = written(word_counts(own.filter(~F.col("held_out"))), "vocabulary")
     known, counts = frequent(vocabulary, dictionary)
     rows = encoded(own, known, units, endings)
+    release()
     train = rows.filter(~F.col("held_out"))
     classes = cluster(train, units + endings, k, rounds)
     pairs = transitions(train, classes, k)
     n_docs = float(train.count())
 
     # Words and types of each class, from the whole vocabulary.
-    shared = spark.sparkContext.broadcast((known, units, endings, classes))
+    shared = spark.sparkContext.broadcast((known[:units], units, endings, classes))
 
     def by_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, top_, slots, of = shared.value
-        rank = {w: i for i, w in enumerate(words[:top_])}
+        rank = {w: i for i, w in enumerate(words)}
         n, types = np.zeros(k), np.zeros(k)
         for batch in batches:
             c = of[np.array([rank[w] if w in rank else top_ + ending(w, slots) for w in map(bytes, batch["word"])], dtype=np.int64)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, quiet, shingle_hashes, small_batches, table, text_bytes, word_hashes, words, written
+from .common import mix, quiet, release, shingle_hashes, small_batches, table, text_bytes, word_hashes, words, written
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -100,6 +100,8 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 out.append((len(s), set_id(s), band_hashes(values, bands, rows)))
             got = pd.DataFrame(out, columns=["n_shingles", "sid", "bands"])
             yield pd.concat([batch.drop(columns=["text"]).reset_index(drop=True), got], axis=1)
+        known.clear()
+        release()
 
     keyed = own.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
     return written(keyed.mapInPandas(run, f"doc_id {kind}, k1 long, k2 long, n_shingles long, sid binary, bands array<long>"), "sketches")
@@ -250,10 +252,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of docs for each component, with the columns of docs; of rows that repeat id and text, one."""
-    keep = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__id"), "k1", "k2").distinct()
+    keep = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("k1").alias("__t1"), F.col("k2").alias("__t2")).distinct()
     text = text_bytes(text_col)
     keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(7), text)})
-    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")))
+    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")))
     one = Window.partitionBy(id_col, "__k1", "__k2").orderBy(F.lit(1))
     return kept.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 

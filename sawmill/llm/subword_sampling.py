@@ -13,6 +13,10 @@ the whole text, drawn backwards through the forward sums, and pushes the nodes t
 each later unit. The perturbed maximum left after k pops is the threshold that gives inclusion
 probabilities 1 - exp(-exp(log_prob - threshold)).
 
+One uniform number picks a unit's segmentation as an arithmetic decoder would: each choice rescales it to the
+chosen piece's share. All numbers that lead along a unit's likeliest pieces so form one interval; a draw within
+it, which most are, takes the ready pieces.
+
 Every random number is a hash of seed, row key, sample, unit and step, so a row's samples never depend on
 its batch or task. The vocabulary's own scores are merge ranks, not probabilities; a piece of merge rank r
 gets log probability -alpha * log(r + 2), a byte of a character outside the vocabulary -alpha * log(size).
@@ -40,15 +44,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, quiet, small_batches, table
+from .common import mix, quiet, release, small_batches, table
 
 #: The public vocabulary file that the query uses; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 #: Units whose lattices are kept from slice to slice, and how many of them (the most used) outlive an overflow.
-CACHED_UNITS, KEPT_UNITS = 220_000, 110_000
-SLICE_CHARS = 2_000_000
+CACHED_UNITS, KEPT_UNITS = 200_000, 100_000
+SLICE_CHARS = 1_000_000
 NONE = 65535
+#: Steps that one uniform number is good for; a longer usual segmentation has no shortcut.
+USUAL = 8
 BELOW_ONE = 1 - 2**-24
 
 
@@ -124,38 +130,42 @@ def next_hash(key: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Forward sums of units. A state is the end of a prefix; its row has, for each piece length, the
-    cumulated probability that the last piece of the prefix has at most this length, and the piece. Single
-    precision: draws tell odds down to 6e-8 apart; log probabilities are sums of scores in full precision."""
+    """Forward sums of units. A state is the end of a prefix; its edges, one for each last piece, are in order of piece
+    length and have the cumulated probability, the piece and its length. Single precision: draws tell odds down to
+    6e-8 apart; log probabilities are sums of scores in full precision."""
+
+    #: What is known of a unit, of a state (where its edges begin) and of an edge.
+    UNIT = {"base": np.int64, "length": np.int64, "total": np.float64, "only": bool, "low": np.float64, "high": np.float64, "usual_logp": np.float64, "usual_size": np.int8}
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.clear()
-
-    def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.names: list[str] = []
-        self.base = np.zeros(0, dtype=np.int64)
-        self.length = np.zeros(0, dtype=np.int64)
-        self.total = np.zeros(0)
-        self.only = np.zeros(0, dtype=bool)  # whether the unit has a single segmentation
-        self.uses = np.zeros(0, dtype=np.int64)
         self.exactly: dict[str, tuple] = {}
-        self.cum = np.zeros((1 << 16, self.v.longest), dtype=np.float32)
-        self.pid = np.zeros((1 << 16, self.v.longest), dtype=np.uint16)
-        self.used = 0
+        self.fresh: dict[str, list[np.ndarray]] = {}
+        for name, kind in self.UNIT.items():  # only: the unit has a single segmentation; low, high: its usual one's interval
+            setattr(self, name, np.zeros(0, dtype=kind))
+        self.uses = np.zeros(0, dtype=np.int64)
+        self.usual_pieces, self.usual_lengths = np.zeros((0, USUAL), dtype=np.int32), np.zeros((0, USUAL), dtype=np.int8)
+        self.edges = np.zeros(1, dtype=np.int64)  # one more than states
+        self.cum, self.pid, self.size = np.zeros(0, np.float32), np.zeros(0, np.uint16), np.zeros(0, np.uint8)
+        self.states = 0
 
     def shrink(self) -> None:
         """Keeps the most used units; counts of use are halved."""
         keep = np.sort(np.argpartition(-self.uses, KEPT_UNITS)[:KEPT_UNITS])
-        size = self.length[keep]
-        start = np.cumsum(size) - size
-        rows = np.repeat(self.base[keep] - start, size) + np.arange(int(size.sum()))
-        self.cum, self.pid = self.cum[rows], self.pid[rows]
-        self.used = len(rows)
+        size, base = self.length[keep], self.base[keep]
+        states = spread(base, size)
+        count = self.edges[states + 1] - self.edges[states]
+        own = spread(self.edges[base], self.edges[base + size] - self.edges[base])
+        self.cum, self.pid, self.size = self.cum[own], self.pid[own], self.size[own]
+        self.edges = np.concatenate(([0], np.cumsum(count)))
+        self.states = len(states)
         names = self.names
         self.names = [names[i] for i in keep.tolist()]
-        self.base, self.length, self.total, self.only, self.uses = start, size, self.total[keep], self.only[keep], self.uses[keep] // 2
+        for name in (*self.UNIT, "usual_pieces", "usual_lengths"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.base, self.uses = np.cumsum(size) - size, self.uses[keep] // 2
         self.of = {u: i for i, u in enumerate(self.names)}
 
     def add(self, units: list[str]) -> None:
@@ -166,7 +176,12 @@ class Lattices:
             step = max(1, 400_000 // (length * self.v.longest))
             for i in range(0, len(own), step):
                 self._add(own[i : i + step], length)
+        # What is known of the new units joins the arrays at once.
+        for name, parts in self.fresh.items():
+            setattr(self, name, np.concatenate((getattr(self, name), *parts)))
+        self.fresh = {}
         self.uses = np.concatenate((self.uses, np.zeros(len(self.names) - len(self.uses), dtype=np.int64)))
+        self.states = len(self.edges) - 1
 
     def _add(self, own: list[str], length: int) -> None:
         v, n = self.v, len(own)
@@ -205,19 +220,48 @@ class Lattices:
                 alpha[:, e] = top + np.log(c[:, -1])
                 cum[:, e - 1, :w] = c / c[:, -1:]
                 cum[:, e - 1, w:] = 1
-        if self.used + n * length > len(self.cum):
-            more = max(len(self.cum), n * length)
-            self.cum = np.concatenate((self.cum, np.zeros((more, v.longest), dtype=np.float32)))
-            self.pid = np.concatenate((self.pid, np.zeros((more, v.longest), dtype=np.uint16)))
-        self.cum[self.used : self.used + n * length, :k] = cum.reshape(-1, k)
-        self.cum[self.used : self.used + n * length, k:] = 1
-        self.pid[self.used : self.used + n * length, :k] = pid.reshape(-1, k)
-        only = (np.isfinite(score).sum(2) <= 1).all(1)
+        cum = cum.astype(np.float32)
+        real = np.isfinite(score)
+        only = (real.sum(2) <= 1).all(1)
+        self._usual(cum.astype(np.float64), pid, score, alpha[:, length])
+        at = np.flatnonzero(real.ravel())
+        known = self.fresh["edges"][-1][-1] if "edges" in self.fresh else self.edges[-1]
+        self._note(edges=known + np.cumsum(real.sum(2).ravel()), cum=cum.ravel()[at], pid=pid.ravel()[at], size=(at % k + 1).astype(np.uint8))
         self.of.update(zip(own, range(len(self.names), len(self.names) + n), strict=True))
         self.names += own
-        more = (self.used + np.arange(n) * length, np.full(n, length), alpha[:, length], only)
-        self.base, self.length, self.total, self.only = (np.concatenate(x) for x in zip((self.base, self.length, self.total, self.only), more, strict=True))
-        self.used += n * length
+        self._note(base=self.states + np.arange(n) * length, length=np.full(n, length), total=alpha[:, length], only=only)
+        self.states += n * length
+
+    def _usual(self, cum: np.ndarray, pid: np.ndarray, score: np.ndarray, total: np.ndarray) -> None:
+        """Follows the likeliest last piece from state to state, and the interval of numbers that do so."""
+        n, length, k = pid.shape
+        low, high, logp = np.zeros(n), np.ones(n), -total
+        size, pieces, lengths = np.zeros(n, np.int8), np.zeros((n, USUAL), np.int32), np.zeros((n, USUAL), np.int8)
+        end, live = np.full(n, length), np.arange(n)
+        for step in range(USUAL):
+            rows = cum[live, end[live] - 1]
+            p = np.diff(rows, axis=1, prepend=0.0)
+            j = p.argmax(1)
+            here = np.arange(len(live))
+            top, bottom = rows[here, j], rows[here, j] - p[here, j]
+            width = high[live] - low[live]
+            low[live], high[live] = low[live] + width * bottom, low[live] + width * top
+            at = end[live] - 1
+            piece = pid[live, at, j].astype(np.int32)
+            pieces[live, step] = np.where(piece == NONE, -end[live], piece)
+            lengths[live, step] = j + 1
+            logp[live] += score[live, at, j]
+            size[live] += 1
+            end[live] -= j + 1
+            live = live[end[live] > 0]
+            if not len(live):
+                break
+        high[live] = low[live]  # longer than USUAL steps: no shortcut
+        self._note(low=low, high=high, usual_logp=logp, usual_size=size, usual_pieces=pieces, usual_lengths=lengths)
+
+    def _note(self, **columns: np.ndarray) -> None:
+        for name, x in columns.items():
+            self.fresh.setdefault(name, []).append(x)
 
     def exact(self, unit: int) -> tuple[list[list[tuple[int, float]]], list[float]]:
         """For each end of a prefix the (length, log probability) of its last pieces, and all forward sums, in full precision."""
@@ -236,7 +280,7 @@ class Lattices:
             top = max(x)
             alpha.append(top + math.log(sum(math.exp(y - top) for y in x)))
             last.append(some)
-        if len(self.exactly) > 20_000:
+        if len(self.exactly) > 4_000:
             self.exactly.clear()
         self.exactly[name] = last, alpha
         return last, alpha
@@ -268,24 +312,32 @@ class Lattices:
         return out
 
     def pieces(self, unit: int, lengths: tuple) -> list[int]:
-        base, end, out = int(self.base[unit]), len(self.names[unit]), []
+        name, end, out = self.names[unit], len(self.names[unit]), []
         for n in lengths:
-            i = int(self.pid[base + end - 1, n - 1])
-            out.append(i if i != NONE else -end)  # a character outside the vocabulary, by its place
+            i = self.v.ids.get(name[end - n : end])
+            if i is None:  # a character outside the vocabulary: its byte, or its place if it has several
+                raw = name[end - 1].encode("utf-8", "surrogatepass")
+                i = self.v.byte[raw[0]] if len(raw) == 1 else -end
+            out.append(i)
             end -= n
         return out[::-1]
 
     def log_prob(self, unit: int, lengths: tuple) -> float:
         if self.only[unit]:
             return 0.0
-        base, end, out = int(self.base[unit]), len(self.names[unit]), -float(self.total[unit])
+        name, end, out = self.names[unit], len(self.names[unit]), -float(self.total[unit])
         for n in lengths:
-            i = int(self.pid[base + end - 1, n - 1])
-            out += self.v.logp[i] * (1 if i != NONE else len(self.names[unit][end - 1].encode("utf-8", "surrogatepass")))
+            i = self.v.ids.get(name[end - n : end])
+            out += float(self.v.logp[i]) if i is not None else len(name[end - 1].encode("utf-8", "surrogatepass")) * float(self.v.logp[NONE])
             end -= n
         return min(out, 0.0)
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., size[0] of them, then those of start[1], ..."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def uniform(keys: np.ndarray, sample: int, unit: np.ndarray, step: int) -> np.ndarray:
     """In (0, 1), a hash of all four."""
     with quiet():
@@ -330,41 +382,54 @@ class Batch:
 
     def draw(self, at: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Segmentations of the units at `at`: (pieces in order, index into `at` of each, piece lengths, log probability of each unit)."""
-        cum, pid = self.lattices.cum, self.lattices.pid
-        base, end = self.base[self.unit[at]], self.length[self.unit[at]].copy()
-        keys, place = self.keys[self.doc[at]], self.place[at]
-        logp = -self.total[self.unit[at]]
-        score = self.lattices.v.logp
-        count = np.zeros(len(at), dtype=np.int64)
-        live, steps = np.arange(len(at)), []
-        step = 0
+        L = self.lattices
+        cum, pid, edges, score = L.cum, L.pid, L.edges, L.v.logp
+        unit = self.unit[at]
+        number = uniform(self.keys[self.doc[at]], sample, self.place[at], 0)
+        usual = (number >= L.low[unit]) & (number < L.high[unit])
+        logp = np.where(usual, L.usual_logp[unit], -self.total[unit])
+        count = np.where(usual, L.usual_size[unit], 0).astype(np.int64)
+        live = np.flatnonzero(~usual)
+        base, end, u = self.base[unit], self.length[unit], number[live]
+        steps, step = [], 0
         while len(live):
-            last = end if step == 0 else end[live]
-            state = (base if step == 0 else base[live]) + last - 1
-            u = uniform(keys if step == 0 else keys[live], sample, place if step == 0 else place[live], step)
-            j = (cum[state] > np.minimum(u, BELOW_ONE).astype(np.float32)[:, None]).argmax(1)
-            piece = pid[state, j].astype(np.int32)
+            last = end[live]
+            first = edges[base[live] + last - 1]
+            edge, small = first.copy(), np.minimum(u, BELOW_ONE).astype(np.float32)
+            ahead = np.flatnonzero(cum[edge] <= small)
+            while len(ahead):
+                edge[ahead] += 1
+                ahead = ahead[cum[edge[ahead]] <= small[ahead]]
+            piece, size = pid[edge].astype(np.int32), L.size[edge].astype(np.int64)
             gain = score[piece]
             strange = np.flatnonzero(piece == NONE)
             if len(strange):  # characters written as several bytes
-                names, unit = self.lattices.names, self.unit[at[live[strange]]]
-                gain[strange] *= [len(names[n][e - 1].encode("utf-8", "surrogatepass")) for n, e in zip(unit, last[strange], strict=True)]
+                gain[strange] *= [len(L.names[n][e - 1].encode("utf-8", "surrogatepass")) for n, e in zip(unit[live[strange]], last[strange], strict=True)]
                 piece[strange] = -last[strange]
-            steps.append((live, piece, (j + 1).astype(np.int32)))
-            left = last - j - 1
-            if step == 0:
-                logp += gain
-                count += 1
-                end = left
-            else:
-                logp[live] += gain
-                count[live] += 1
-                end[live] = left
-            live = live[left > 0]
-            step += 1
-        logp = np.where(self.only[self.unit[at]], 0.0, np.minimum(logp, 0.0))
+            steps.append((live, piece, size.astype(np.int32)))
+            left = last - size
+            logp[live] += gain
+            count[live] += 1
+            end[live] = left
+            on = left > 0
+            live, step = live[on], step + 1
+            if len(live):
+                if step < USUAL:  # what is left of the number within the chosen piece's share
+                    here = np.flatnonzero(on)
+                    own = edge[here]
+                    top = cum[own].astype(np.float64)
+                    bottom = np.where(own > first[here], cum[np.maximum(own - 1, 0)], 0.0).astype(np.float64)
+                    u = np.clip((u[here] - bottom) / np.maximum(top - bottom, 1e-30), 0.0, BELOW_ONE)
+                else:
+                    u = uniform(self.keys[self.doc[at[live]]], sample, self.place[at[live]], step)
+        logp = np.where(self.only[unit], 0.0, np.minimum(logp, 0.0))
         last = np.cumsum(count)
         pieces, lengths = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int32)
+        ready = np.flatnonzero(usual)
+        for s in range(int(L.usual_size[unit[ready]].max(initial=0))):
+            own = ready[L.usual_size[unit[ready]] > s]
+            pieces[last[own] - 1 - s] = L.usual_pieces[unit[own], s]
+            lengths[last[own] - 1 - s] = L.usual_lengths[unit[own], s]
         for s, (own, piece, size) in enumerate(steps):
             pieces[last[own] - 1 - s] = piece
             lengths[last[own] - 1 - s] = size
@@ -494,7 +559,9 @@ def _flatten(b: Batch, samples: list[dict], s: dict) -> tuple[np.ndarray, np.nda
     flat = np.zeros(int(ends[-1]), np.int32)
     for w in range(len(samples)):
         mine = np.flatnonzero((s["where"] == w) & (size > 0))
-        if len(mine):
+        if len(mine) == len(size) and len(samples[w]["pieces"]) == len(flat):
+            flat[:] = samples[w]["pieces"]  # drawn as a whole
+        elif len(mine):
             n = size[mine]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             flat[np.repeat(ends[mine], n) + step] = samples[w]["pieces"][np.repeat(s["start"][mine], n) + step]
@@ -546,6 +613,8 @@ def encode(docs: DataFrame, model: str = MODEL, k: int = 2, alpha: float = 1.0,
                 got["n_pieces"] = [len(x) for x in got["ids"]]
                 yield got[["id", "rank", "ids", "n_pieces", "log_prob", "gumbel", "inclusion"]]
                 a = e
+        del lattices
+        release()
 
     own = docs.select(F.col(id_col).alias("id"), row_key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     out = own.mapInPandas(run, f"id {kind}, rank int, ids array<int>, n_pieces int, log_prob double, gumbel double, inclusion double")
