@@ -64,6 +64,13 @@ def metrics_row(entries: DataFrame, t: Thresholds | None = None, platform: str |
     n = F.count(F.lit(1))
     statement = F.coalesce("query", "message")
     typed = ~m.rlike(P.CANCELLED)
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    waits, dead = m.rlike(P.LOCK_WAIT), m.rlike(P.DEADLOCK)
+    file_mb = F.bround(X.whole(m, P.TEMPORARY_FILE, 2) / (1024 * 1024), 2)
+    lag_unit = F.lower(F.coalesce(X.found(m, P.REPLICATION_LAG, 2), F.lit("bytes")))
+    lag = F.when(~lag_unit.startswith("s"), X.number(m, P.REPLICATION_LAG, 1) * F.when(lag_unit == "mb", 1024.0**2).when(lag_unit == "gb", 1024.0**3).otherwise(1.0))
+    pooled = F.coalesce(F.col("raw_line"), F.lit("")).rlike(P.POOLER) | m.rlike(P.POOLER)
+    # All that needs no grouping is one pass.
     base = entries.agg(
         n.alias("entries"), F.count_if(is_error()).alias("errors"), F.count_if(is_fatal()).alias("fatals"), F.count_if(m.rlike(P.AUTHORIZED)).alias("connections"),
         F.count_if(m.rlike(P.AUTH_FAILED) & ~m.rlike(P.AUTHORIZED) & ~m.rlike(P.DISCONNECTED)).alias("auth_failures"), F.count_if(m.rlike(P.CHECKPOINT_OFTEN)).alias("checkpoint_warnings"),
@@ -72,19 +79,16 @@ def metrics_row(entries: DataFrame, t: Thresholds | None = None, platform: str |
         F.coalesce(F.max("duration_ms"), F.lit(0.0)).alias("longest_ms"), F.count_if(is_slow(t.slow_ms)).alias("slow"),
         F.count_if(typed & F.col("query_type").isin("delete", "update")).alias("changes"), F.count_if(typed & F.col("query_type").isin("select", "insert", "update", "delete", "copy", "ddl", "other") & statement.isNotNull()).alias("typed"),
         F.coalesce(F.sum(F.when(F.col("phase") == "parse", F.col("duration_ms"))), F.lit(0.0)).alias("parse_ms"), F.coalesce(F.sum(F.when(F.col("phase") == "execute", F.col("duration_ms"))), F.lit(0.0)).alias("execute_ms"),
+        F.count_if(waits & ~dead).alias("lock_waits"), F.count_if(dead).alias("deadlocks"), F.count_if(m.rlike(P.CHECKPOINT_DONE)).alias("checkpoints"), zero(F.avg(X.number(m, P.CHECKPOINT_DONE, 8) * 1000), "double").alias("checkpoint_avg_ms"),
+        F.count_if(file_mb >= t.temporary_mb).alias("large_files"), zero(F.max(file_mb), "double").alias("largest_mb"), zero(F.max(lag.cast("long")), "long").alias("most_lag_bytes"),
+        F.countDistinct(F.when(pooled, X.found(m, P.POOLER_ERROR))).alias("pool_errors"),
     )
-    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
     parts = [
         ordered.peak_concurrent(entries).select(F.col("peak").cast("long").alias("peak_concurrent")),
-        extract.lock_events(entries).agg(F.count_if(~F.col("is_deadlock")).alias("lock_waits"), F.count_if("is_deadlock").alias("deadlocks")),
-        extract.checkpoint_events(entries).agg(n.alias("checkpoints"), zero(F.avg("duration_ms"), "double").alias("checkpoint_avg_ms")),
-        extract.temporary_files(entries).agg(F.count_if(F.col("size_mb") >= t.temporary_mb).alias("large_files"), zero(F.max("size_mb"), "double").alias("largest_mb")),
         extract.autovacuum_runs(entries).groupBy("schema", "table").agg(n.alias("runs"), F.max("wal_bytes").alias("wal")).agg(zero(F.max("runs"), "long").alias("most_autovacuums"), zero(F.max("wal"), "long").alias("most_wal_bytes")),
-        extract.replication_lag(entries).agg(zero(F.max("lag_bytes"), "long").alias("most_lag_bytes")),
         ordered.idle_ratio(entries).select(zero(F.col("idle_ratio"), "double").alias("idle_ratio")),
         ordered.error_storm_by_hour(entries, 5, t.storm).select("in_window"),
         aggregate.connections_by(entries, "host").agg(zero(F.max("connections"), "double").alias("top_host"), zero(F.sum("connections"), "double").alias("all_hosts")).select(F.coalesce(X.ratio(F.col("top_host"), F.col("all_hosts")), F.lit(0.0)).alias("host_share")),
-        extract.pooler_events(entries).agg(F.countDistinct("error").alias("pool_errors")),
         ordered.regressions(aggregate.keyed_queries(entries, t.slow_ms)).agg(F.count_if("regressing").alias("regressing")),
     ]
     out = base
