@@ -66,35 +66,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(tokens: list[bytes], known: dict[bytes, int] | None = None) -> np.ndarray:
-    """64-bit hashes of words. known: a cache, emptied when it holds 400,000 words."""
-    import xxhash
-
-    if known is None:
-        known = {}
-    elif len(known) > 400_000:
-        known.clear()
-    get, h = known.get, xxhash.xxh3_64_intdigest
-    out = list(map(get, tokens))
-    if None in out:
-        for i, x in enumerate(out):
-            if x is None:
-                w = tokens[i]
-                out[i] = known[w] = h(w)
-    return np.array(out, dtype=np.uint64)
+class Hashes(dict):
+    """64-bit hashes of words, computed once for each while they are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def word_hashes(tokens: list[bytes], known: Hashes | None = None) -> np.ndarray:
+    known = Hashes() if known is None else known
+    return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+
+#: Odd factors of the words of a shingle.
+FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25]
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """One 64-bit hash for each run of width words, in order; the whole sequence as one if it is shorter."""
+    """One 64-bit hash for each run of width words (8 at most), in order; the whole sequence as one if it is shorter."""
     n = len(hashes)
     if n == 0:
         return hashes
     k, width = (1, n) if n < width else (n - width + 1, width)
-    out = np.full(k, 0x9E3779B97F4A7C15 + width & MASK, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(width):
-            out = mix(out * np.uint64(0x9FB21C651E98DF25) + hashes[j : j + k])
-    return out
+        out = hashes[:k] * np.uint64(FACTORS[0])
+        for j in range(1, width):
+            out += hashes[j : j + k] * np.uint64(FACTORS[j])
+        return mix(out + np.uint64(width))
 
 
 @contextlib.contextmanager

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, quiet, release, shingle_hashes, small_batches, table, text_bytes, word_hashes, words, written
+from .common import Hashes, mix, quiet, release, shingle_hashes, small_batches, table, text_bytes, word_hashes, words, written
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -69,7 +69,7 @@ def band_hashes(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shingles(text: bytes | None, width: int, known: dict) -> np.ndarray:
+def shingles(text: bytes | None, width: int, known: Hashes) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words(text), known), width))
 
 
@@ -88,7 +88,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        known = Hashes()
         for batch in batches:
             out = []
             for text in batch["text"]:
@@ -115,7 +115,7 @@ def full_sets(asked: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
     texts = docs.select(F.xxhash64(bytes_).alias("t1"), F.xxhash64(F.lit(7), bytes_).alias("t2"), bytes_.alias("text"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        known = Hashes()
         for batch in batches:
             yield pd.DataFrame({"sid": batch["sid"], "s": [shingles(t, width, known).tobytes() for t in batch["text"]]})
 
