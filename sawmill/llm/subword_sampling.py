@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ from .common import mix, quiet, release, small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 #: Units whose lattices are kept from slice to slice, and how many of them (the most used) outlive an overflow.
-CACHED_UNITS, KEPT_UNITS = 200_000, 100_000
+CACHED_UNITS, KEPT_UNITS = 320_000, 180_000
 SLICE_CHARS = 1_000_000
 NONE = 65535
 #: Steps that one uniform number is good for; a longer usual segmentation has no shortcut.
@@ -209,12 +210,14 @@ class Lattices:
             pid[j, e, 0] = v.byte[raw[0]] if len(raw) == 1 else NONE
         alpha = np.full((n, length + 1), -np.inf)
         alpha[:, 0] = 0
-        cum = np.zeros((n, length, k))
+        cum, likeliest = np.zeros((n, length, k)), np.zeros((n, length), dtype=np.int64)
         with quiet():
             for e in range(1, length + 1):
                 w = min(k, e)
                 x = score[:, e - 1, :w] + alpha[:, e - w : e][:, ::-1]
-                top = x.max(1)
+                best = x.argmax(1)
+                likeliest[:, e - 1] = best
+                top = x[np.arange(n), best]
                 p = np.exp(x - top[:, None])
                 c = np.cumsum(p, axis=1)
                 alpha[:, e] = top + np.log(c[:, -1])
@@ -223,7 +226,7 @@ class Lattices:
         cum = cum.astype(np.float32)
         real = np.isfinite(score)
         only = (real.sum(2) <= 1).all(1)
-        self._usual(cum.astype(np.float64), pid, score, alpha[:, length])
+        self._usual(cum, likeliest, pid, score, alpha[:, length])
         at = np.flatnonzero(real.ravel())
         known = self.fresh["edges"][-1][-1] if "edges" in self.fresh else self.edges[-1]
         self._note(edges=known + np.cumsum(real.sum(2).ravel()), cum=cum.ravel()[at], pid=pid.ravel()[at], size=(at % k + 1).astype(np.uint8))
@@ -232,21 +235,19 @@ class Lattices:
         self._note(base=self.states + np.arange(n) * length, length=np.full(n, length), total=alpha[:, length], only=only)
         self.states += n * length
 
-    def _usual(self, cum: np.ndarray, pid: np.ndarray, score: np.ndarray, total: np.ndarray) -> None:
+    def _usual(self, cum: np.ndarray, likeliest: np.ndarray, pid: np.ndarray, score: np.ndarray, total: np.ndarray) -> None:
         """Follows the likeliest last piece from state to state, and the interval of numbers that do so."""
         n, length, k = pid.shape
         low, high, logp = np.zeros(n), np.ones(n), -total
         size, pieces, lengths = np.zeros(n, np.int8), np.zeros((n, USUAL), np.int32), np.zeros((n, USUAL), np.int8)
         end, live = np.full(n, length), np.arange(n)
         for step in range(USUAL):
-            rows = cum[live, end[live] - 1]
-            p = np.diff(rows, axis=1, prepend=0.0)
-            j = p.argmax(1)
-            here = np.arange(len(live))
-            top, bottom = rows[here, j], rows[here, j] - p[here, j]
+            at = end[live] - 1
+            j = likeliest[live, at]
+            top = cum[live, at, j].astype(np.float64)
+            bottom = np.where(j > 0, cum[live, at, np.maximum(j - 1, 0)], np.float32(0)).astype(np.float64)
             width = high[live] - low[live]
             low[live], high[live] = low[live] + width * bottom, low[live] + width * top
-            at = end[live] - 1
             piece = pid[live, at, j].astype(np.int32)
             pieces[live, step] = np.where(piece == NONE, -end[live], piece)
             lengths[live, step] = j + 1
@@ -256,6 +257,9 @@ class Lattices:
             live = live[end[live] > 0]
             if not len(live):
                 break
+        # In order of the text, not as they were found.
+        turn = np.clip(size[:, None].astype(np.int64) - 1 - np.arange(USUAL), 0, None)
+        pieces, lengths = np.take_along_axis(pieces, turn, axis=1), np.take_along_axis(lengths, turn, axis=1)
         high[live] = low[live]  # longer than USUAL steps: no shortcut
         self._note(low=low, high=high, usual_logp=logp, usual_size=size, usual_pieces=pieces, usual_lengths=lengths)
 
@@ -426,10 +430,10 @@ class Batch:
         last = np.cumsum(count)
         pieces, lengths = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int32)
         ready = np.flatnonzero(usual)
-        for s in range(int(L.usual_size[unit[ready]].max(initial=0))):
-            own = ready[L.usual_size[unit[ready]] > s]
-            pieces[last[own] - 1 - s] = L.usual_pieces[unit[own], s]
-            lengths[last[own] - 1 - s] = L.usual_lengths[unit[own], s]
+        which, own = unit[ready], count[ready]
+        real = np.arange(USUAL) < own[:, None]
+        to = spread(last[ready] - own, own)
+        pieces[to], lengths[to] = L.usual_pieces[which][real], L.usual_lengths[which][real]
         for s, (own, piece, size) in enumerate(steps):
             pieces[last[own] - 1 - s] = piece
             lengths[last[own] - 1 - s] = size
@@ -451,6 +455,15 @@ def _log_rest(logp: np.ndarray) -> np.ndarray:
 
 def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple]]:
     """For each text up to k tuples (ids, log_prob, gumbel, inclusion), best perturbed first."""
+    out: list[list] = [[] for _ in texts]
+    for live, flat, at, log_prob, gumbel, inclusion in sample_flat(lattices, texts, keys, k):
+        for n, d in enumerate(live):
+            out[d].append((flat[at[n] : at[n + 1]], float(log_prob[n]), float(gumbel[n]), float(inclusion[n])))
+    return out
+
+
+def sample_flat(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple]:
+    """For each rank: the texts that have it, their ids one after the other and where each begins, log_prob, gumbel, inclusion."""
     b = Batch(lattices, texts, keys)
     docs = len(texts)
     gumbel = -np.log(-np.log(uniform(keys, 0, np.zeros(docs), ROOT_STEP)))
@@ -459,7 +472,6 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
     branch = np.zeros(docs, dtype=np.int64)  # the unit at which a sample left its parent
     parent = np.zeros(docs, dtype=np.int64)
     avoided: list[dict[int, list]] = []
-    out: list[list] = [[] for _ in texts]
     at_branch: dict[int, tuple] = {}
     for r in range(k + 1):
         # What is drawn anew: all units behind the branch (from the first unit on for the first sample).
@@ -531,13 +543,13 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
                 without = avoided[j].get(t) or [_lengths(samples, s, t)]
                 key, place = int(b.keys[d]), int(branch[d])
                 at_branch[int(d)] = (lattices.another(int(b.unit[t]), without, lambda step, key=key, place=place, r=r: uniform_one(key, r + 1, place, step)), without)
-    threshold = gumbel
-    for r, s in enumerate(samples):
+    threshold, out = gumbel, []
+    for s in samples:
         flat, ends = _flatten(b, samples, s)
         with quiet():
             inclusion = np.where(np.isfinite(threshold), -np.expm1(-np.exp(s["total"] - threshold)), 1.0)
-        for d in np.flatnonzero(s["live"]):
-            out[d].append((flat[ends[b.first[d]] : ends[b.first[d + 1]]], float(s["total"][d]), float(s["gumbel"][d]), float(inclusion[d])))
+        own = np.flatnonzero(s["live"])  # the units of other texts have no pieces here
+        out.append((own, flat, np.append(ends[b.first[own]], len(flat)), s["total"][own], s["gumbel"][own], inclusion[own]))
     return out
 
 
@@ -594,30 +606,29 @@ def encode(docs: DataFrame, model: str = MODEL, k: int = 2, alpha: float = 1.0,
     shared = spark.sparkContext.broadcast(Vocabulary(model, alpha))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(shared.value)
         salt = np.uint64((seed * 0x2545F4914F6CDD1D + 1) & (1 << 64) - 1)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             with quiet():
-                keys = mix(batch["key"].to_numpy().view(np.uint64) ^ salt)
+                keys = mix(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ salt)
             a = 0
             while a < len(texts):
                 e, chars = a, 0
                 while e < len(texts) and (e == a or chars + len(texts[e]) <= SLICE_CHARS):
                     chars += len(texts[e])
                     e += 1
-                rows = [(i, r + 1, *got) for i, found in zip(batch["id"][a:e], sample(lattices, texts[a:e], keys[a:e], k), strict=True) for r, got in enumerate(found)]
-                got = pd.DataFrame(rows, columns=["id", "rank", "ids", "log_prob", "gumbel", "inclusion"])
-                got["id"] = got["id"].astype(batch["id"].dtype)
-                got["n_pieces"] = [len(x) for x in got["ids"]]
-                yield got[["id", "rank", "ids", "n_pieces", "log_prob", "gumbel", "inclusion"]]
+                for rank, (live, flat, at, log_prob, gumbel, inclusion) in enumerate(sample_flat(lattices, texts[a:e], keys[a:e], k), 1):
+                    ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
+                    columns = [batch.column("id").take(pa.array(live + a)), pa.array(np.full(len(live), rank), pa.int32()), ids, pa.array(np.diff(at), pa.int32()), pa.array(log_prob), pa.array(gumbel), pa.array(inclusion)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "rank", "ids", "n_pieces", "log_prob", "gumbel", "inclusion"])
                 a = e
         del lattices
         release()
 
     own = docs.select(F.col(id_col).alias("id"), row_key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = own.mapInPandas(run, f"id {kind}, rank int, ids array<int>, n_pieces int, log_prob double, gumbel double, inclusion double")
+    out = own.mapInArrow(run, f"id {kind}, rank int, ids array<int>, n_pieces int, log_prob double, gumbel double, inclusion double")
     return out.withColumnRenamed("id", id_col)
 
 
