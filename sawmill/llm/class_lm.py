@@ -70,10 +70,8 @@ def frequent(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]
         least, total = r["level"], total + r["words"]
     if least is None:
         return [], np.empty(0)
-    top = short.filter(level >= least).toPandas()
-    words, counts = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.float64)
-    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-    return [words[i] for i in order], counts[order]
+    top = short.filter(level >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.float64)
 
 
 def encoded(docs: DataFrame, words: list[bytes], units: int, endings: int) -> DataFrame:
@@ -135,9 +133,10 @@ def contexts(train: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarray,
             at = np.flatnonzero(both[side])
             yield pd.DataFrame({"side": side, "at": at.astype(np.int64), "n": both[side][at]}).astype({"side": "int32"})
 
-    got = train.select("units").mapInPandas(run, "side int, at long, n long").groupBy("side", "at").agg(F.sum("n").alias("n")).toPandas()
+    got = train.select("units").mapInPandas(run, "side int, at long, n long").groupBy("side", "at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, n * (k + 1)))
-    out[got["side"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
+    for part in got.to_batches(max_chunksize=100_000):
+        out[part.column("side").to_numpy(), part.column("at").to_numpy()] = part.column("n").to_numpy()
     del got
     release()
     return out[0].reshape(n, k + 1), out[1].reshape(n, k + 1)
