@@ -3,11 +3,11 @@
 Tokens of a page are its element paths (tags with class and id words, digits folded). The occurrence vector
 of a token over the pages of a host is never built: its signature is the sum over pages of a hash of page
 and count, which partial aggregation adds up, so tokens of equal signature are those of equal vectors. Tokens
-with one vector form a class; a class is valid if it has the support of every page, or of several pages and
-more than one token, and its tokens nest (each token's path names its ancestors, so a class lies in the slot
-of the deepest template token above it). The class that occurs once on every page is the host's template and
-its tokens are the slots; the main slot is the template's article or main element, or else the deepest
-container that holds most of the host's text outside the boilerplate slots (menus, headers, footers,
+with one vector form a class; a class is valid if its tokens occur once on most of the host's pages, or on several pages and
+it has more than one token, and its tokens nest (each token's path names its ancestors, so a class lies in the slot
+of the deepest template token above it). What occurs once on most pages is the host's template and
+its tokens are the slots (pages without any container do not count, so null, broken or odd pages leave the template as it is); the main slot is the template's article or main element, or else the deepest
+container that holds most of its pages' text outside the boilerplate slots (menus, headers, footers,
 sidebars, notices, adverts, forms, comments, by tag, role, class or id). Each page then gives the blocks of
 its main slot; a page without that slot falls back on its article or main element, then its body.
 
@@ -189,28 +189,29 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     own = seen.setdefault(path, [token, tag, 0, 0, i])
                     own[2] += 1
                     own[3] += size
-            out += [(host, path, token, tag, n, size, at, hash_path(key, str(n)) >> 2) for path, (token, tag, n, size, at) in seen.items()]
-        yield pd.DataFrame(out, columns=["host", "path", "token", "tag", "n", "size", "at", "sign"])
+            body = max((x[3] for x in seen.values() if x[1] == "body"), default=-1)
+            out += [(host, path, token, tag, n, size, at, hash_path(key, str(n)) >> 2, body, int(k == 0)) for k, (path, (token, tag, n, size, at)) in enumerate(seen.items())]
+        yield pd.DataFrame(out, columns=["host", "path", "token", "tag", "n", "size", "at", "sign", "body", "first"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: float = 0.8) -> DataFrame:
     """host, path, token, class_id, is_template, is_main: the valid classes of each host's container tokens."""
     rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(html_col).cast("string").alias("html"))
-    seen = rows.mapInPandas(_tokens, "host string, path long, token string, tag string, n int, size long, at int, sign long")
-    sums = seen.groupBy("host", "path", "token", "tag").agg(F.sum(F.col("sign").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.avg("at").alias("at"))
+    seen = rows.mapInPandas(_tokens, "host string, path long, token string, tag string, n int, size long, at int, sign long, body long, first int")
+    sums = seen.groupBy("host", "path", "token", "tag").agg(F.sum(F.col("sign").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum("size").alias("size"), F.avg("at").alias("at"), F.sum(F.when(F.col("body") >= 0, F.col("body"))).alias("body"), F.sum("first").alias("first"))
     sums = written(sums, "tokens")
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    # Pages without a container (null, empty or broken html) say nothing about the template.
+    counts = sums.groupBy("host").agg(F.sum("first").alias("host_pages"))
     one = Window.partitionBy("host", "vector", "pages")
     valid = (
         sums.join(counts, "host")
-        .withColumn("is_template", (F.col("pages") == F.col("host_pages")) & (F.col("n") == F.col("pages")))
+        .withColumn("is_template", 2 * F.col("once") > F.col("host_pages"))
         .withColumn("members", F.count(F.lit(1)).over(one))
         .filter(F.col("is_template") | ((F.col("pages") > 1) & (F.col("members") > 1)))
         .withColumn("class_id", F.xxhash64("vector", "pages"))
     )
-    own = Window.partitionBy("host")
     named = F.col("is_template") & (F.col("tag").isin("article", "main") | F.col("token").endswith("!main"))
-    ample = F.col("is_template") & (F.col("size") >= most * F.max(F.when(F.col("tag") == "body", F.col("size"))).over(own))
+    ample = F.col("is_template") & F.coalesce(F.col("size") >= most * F.col("body"), F.lit(False))
     ranked = valid.withColumn("class", F.when(named, 0).when(ample, 1).otherwise(2))
     # Named containers by their text; others by depth: the later a container of the same text begins, the deeper it lies.
     order = Window.partitionBy("host").orderBy("class", F.when(F.col("class") == 0, -F.col("size")).otherwise(F.lit(0)), F.desc("at"), "path")

@@ -37,6 +37,17 @@ def test_the_template_tells_the_main_slot(spark):
     assert len({r["class_id"] for r in t if r["is_template"]}) == 1 and sum(r["is_main"] for r in t) == 1
 
 
+def test_odd_pages_leave_the_template(spark):
+    rows = [(i, f"https://x.example/{i}", page(i, ["some words of text " * 5, "and further ones " * 7])) for i in range(6)]
+    odd = [None, "", "<p>oops", "<html><body><h1>Not found</h1></body></html>", page(9, ["more of it " * 9]).replace("<div id='body-9'>", "<div id='body-9'>intro</div><div id='body-9'>")]
+    for some in ([o] for o in odd[:4]), [odd]:
+        for extra in some:
+            d = spark.createDataFrame(rows + [(20 + k, f"https://x.example/o{k}", o) for k, o in enumerate(extra)], "page_id long, url string, html string")
+            out = {r["page_id"]: r["text"] for r in H.extract(d).collect()}
+            assert all(out[i].startswith(f"Head {i}") and "Home" not in out[i] and "Copyright" not in out[i] for i in range(6))
+            assert all(o is None or o == "" or out[20 + k] for k, o in enumerate(extra))
+
+
 def test_copies_keep_their_text(spark):
     same = "<body><article><p>same</p></article></body>"
     d = spark.createDataFrame([(i, "http://z.example/", same) for i in range(5)], "page_id long, url string, html string")
