@@ -9,7 +9,8 @@ of the deepest template token above it). What occurs once on most pages is the h
 its tokens are the slots (pages without any container do not count, so null, broken or odd pages leave the template as it is); the main slot is the template's article or main element, or else the deepest
 container that holds most of its pages' text outside the boilerplate slots (menus, headers, footers,
 sidebars, notices, adverts, forms, comments, by tag, role, class or id). Each page then gives the blocks of
-its main slot; a page without that slot falls back on its article or main element, then its body.
+its main slot but those whose text, at the same path, stands on most of the host's distinct pages (from five
+pages on); a page without that slot falls back on its article or main element, then its body.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as browsers do in the main
 (unclosed p, li, td and tr end by themselves, a stray end tag is ignored, an unclosed comment runs to the
@@ -194,6 +195,26 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["host", "path", "token", "tag", "n", "size", "at", "sign", "body", "first"])
 
 
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for host, source in zip(batch["host"], batch["html"], strict=True):
+            page = Page(source or "")
+            same = hash_path(0, source or "")
+            out += [(host, x, same) for x in {hash_path(page.elements[at][0], text) for text, at in page.blocks}]
+        yield pd.DataFrame(out, columns=["host", "text", "page"])
+
+
+def template_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 5) -> DataFrame:
+    """host, texts: the text tokens (a block with its element's path) that stand on most of a host's distinct pages with text, if these are at least `least`."""
+    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
+    seen = rows.mapInPandas(_texts, "host string, text long, page long").distinct()
+    counts = rows.filter("html != ''").select("host", F.xxhash64("html").alias("page")).distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_pages"))
+    held = seen.groupBy("host", "text").agg(F.count(F.lit(1)).alias("pages")).filter(2 * F.col("pages") > least)
+    both = held.join(counts.filter(F.col("host_pages") >= least), F.col("host") == F.col("h")).filter(2 * F.col("pages") > F.col("host_pages"))
+    return both.groupBy("host").agg(F.collect_list("text").alias("texts"))
+
+
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: float = 0.8) -> DataFrame:
     """host, path, token, class_id, is_template, is_main: the valid classes of each host's container tokens."""
     rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(html_col).cast("string").alias("html"))
@@ -218,8 +239,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mo
     return ranked.withColumn("is_main", (F.row_number().over(order) == 1) & (F.col("class") < 2)).select("host", "path", "token", "class_id", "is_template", "is_main")
 
 
-def main_text(source: str | None, main: int | None) -> str:
-    """The blocks of a page's main slot."""
+def main_text(source: str | None, main: int | None, template: frozenset = frozenset()) -> str:
+    """The blocks of a page's main slot without the template's texts; a slot that holds nothing else keeps them."""
     if not source:
         return ""
     page = Page(source)
@@ -238,23 +259,29 @@ def main_text(source: str | None, main: int | None) -> str:
         or mark(lambda e: e[2] == "main")
     ):
         mark(lambda e: e[4] < 0)
-    return "\n".join(text for text, at in page.blocks if inside[at])
+    own = [(text, at) for text, at in page.blocks if inside[at]]
+    varying = [x for x in own if hash_path(page.elements[x[1]][0], x[0]) not in template] if template else own
+    return "\n".join(text for text, _ in varying or own)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 200_000) -> DataFrame:
     """Every column of pages but the html, with text and n_chars."""
     small_batches(pages.sparkSession)
     mains = written(templates(pages, url_col, html_col).filter("is_main").select(F.col("host").alias("__host"), F.col("path").alias("__main")), "templates")
-    if mains.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+    texts = template_texts(pages, url_col, html_col).withColumnRenamed("host", "__h")
+    both = mains.join(texts, F.col("__host") == F.col("__h"), "full").select(F.coalesce("__host", "__h").alias("__host"), "__main", F.col("texts").alias("__texts"))
+    mains = written(both, "template-texts")
+    # Hosts and template texts together: both are sent.
+    if (mains.agg(F.sum(1 + F.coalesce(F.array_size("__texts"), F.lit(0)))).first()[0] or 0) <= broadcast_hosts:
         mains = F.broadcast(mains)
 
-    def run(source: pd.Series, main: pd.Series) -> pd.Series:
-        return pd.Series([main_text(s, None if pd.isna(m) else int(m)) for s, m in zip(source, main, strict=True)], dtype=object)
+    def run(source: pd.Series, main: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([main_text(s, None if pd.isna(m) else int(m), frozenset() if t is None else frozenset(t.tolist())) for s, m, t in zip(source, main, texts, strict=True)], dtype=object)
 
     from pyspark.sql.types import StringType
 
     joined = pages.withColumn("__of", host_of(url_col)).join(mains.withColumn("__main", F.col("__main").cast("string")), F.col("__of") == F.col("__host"), "left")
-    text = F.pandas_udf(run, StringType())(F.col(html_col).cast("string"), F.col("__main"))
+    text = F.pandas_udf(run, StringType())(F.col(html_col).cast("string"), F.col("__main"), F.col("__texts"))
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "text", "n_chars")]
     return joined.select(*kept, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -48,6 +48,16 @@ def test_odd_pages_leave_the_template(spark):
             assert all(o is None or o == "" or out[20 + k] for k, o in enumerate(extra))
 
 
+def test_equal_text_within_the_main_slot_is_template(spark):
+    same = "<div class='info'>All prices include tax.</div>"
+    sources = [f"<body><div class='text'><p>Story {i} {'word ' * 30}</p>{same}<p>End {i}</p></div></body>" for i in range(7)]
+    d = spark.createDataFrame([(i, f"http://s.example/{i}", x) for i, x in enumerate(sources)] + [(90 + i, f"http://t.example/{i}", sources[0]) for i in range(7)], "page_id long, url string, html string")
+    for most in (200_000, 0):
+        out = {r["page_id"]: r["text"] for r in H.extract(d, broadcast_hosts=most).collect()}
+        assert all(out[i].startswith(f"Story {i} word") and out[i].endswith(f"End {i}") and "prices" not in out[i] for i in range(7))
+        assert all("prices" in out[90 + i] for i in range(7))
+
+
 def test_copies_keep_their_text(spark):
     same = "<body><article><p>same</p></article></body>"
     d = spark.createDataFrame([(i, "http://z.example/", same) for i in range(5)], "page_id long, url string, html string")
