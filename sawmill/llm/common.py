@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch. Texts may be long, so batches are kept well below Spark's 10,000 rows.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 MASK = (1 << 64) - 1
 
 
@@ -24,7 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Sets the session's Arrow batches: texts may be long, so bytes are bounded too (plans read this as they run)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
