@@ -39,13 +39,58 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark's setting by which an execution removes its shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as a table in the shared folder and rereads it: lineage ends there and any executor can be lost."""
+    """Writes df as a table in the shared folder and rereads it: lineage ends there and any executor can be lost.
+    The shuffles behind it are of no more use, so Spark may remove their files at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sawmill/{what}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the tables written within it but those given to the function it yields: these are left to the scratch around it, if any."""
+    own: list[str] = []
+    outer = _scratch[-1] if _scratch else []
+    _scratch.append(own)
+
+    def keep(df: DataFrame) -> None:
+        own.remove(df._written_at)
+        outer.append(df._written_at)
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(own)
+        for path in own:
+            _delete(spark, path)
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Hashes, mix, quiet, release, shingle_hashes, small_batches, table, text_bytes, word_hashes, words, written
+from .common import Hashes, discard, mix, quiet, release, scratch, shingle_hashes, small_batches, table, text_bytes, word_hashes, words, written
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -182,12 +182,22 @@ def block_links(own: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 256, broadcast_keys: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all rows, sid -> component sid for the sets that are linked)."""
-    all_rows = sketched(docs, id_col, text_col, width, bands, rows)
+    """(sketches of all rows, sid -> component sid for the sets that are linked). All other tables written on the way are deleted."""
+    with scratch(docs.sparkSession) as keep:
+        all_rows, groups = _linked(docs, id_col, text_col, width, percent, bands, rows, block, broadcast_keys)
+        keep(all_rows)
+        keep(groups)
+    return all_rows, groups
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, block: int, broadcast_keys: int) -> tuple[DataFrame, DataFrame]:
+    sketches = sketched(docs, id_col, text_col, width, bands, rows)
+    all_rows = written(sketches.select("doc_id", "k1", "k2", "n_shingles", "sid"), "texts")
     sets = written(
-        all_rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        sketches.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .select("sid", "k.k1", "k.k2", "n", "bands"), "distinct-sets",
     )
+    discard(sketches)
     each = sets.select("sid", "n", F.posexplode("bands").alias("band", "h"))
     order = F.struct(F.xxhash64("sid", "band").alias("o"), F.col("sid").alias("c"), F.col("n").alias("cn"))
     buckets = each.groupBy("band", "h").agg(F.min(order).alias("lo"), F.max(F.struct(F.xxhash64("sid", "band"), "sid")).alias("hi")).filter("lo.c != hi.sid").select("band", "h", "lo.c", "lo.cn")
