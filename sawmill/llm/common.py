@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -114,21 +115,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Hashes(dict):
-    """64-bit hashes of words, computed once for each while they are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(tokens: list[bytes], known: Hashes | None = None) -> np.ndarray:
-    known = Hashes() if known is None else known
-    return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random value for each byte, the same for A-Z and a-z; none for white space.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTES[65:91] = _BYTES[97:123]
+_BYTES[_SPACE] = 0
+#: Bytes of a text that are hashed at once.
+_PIECE = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if len(_powers.known[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        n = max(1 << 16, 1 << (n - 1).bit_length())
+        _powers.known = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)))) for b in (base, pow(base, -1, 1 << 64)))
+    return tuple(x[:n] for x in _powers.known)
+
+
+_powers.known = (np.empty(0, np.uint64),) * 2
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text (see words), in order: sums of byte values times powers, by prefix sums."""
+    if not text:
+        return np.empty(0, np.uint64)
+    if len(text) > _PIECE:  # cut at white space; a word is never cut
+        out, at = [], 0
+        while at < len(text):
+            piece = text[at : at + _PIECE]
+            if at + _PIECE < len(text):
+                more = re.compile(rb"[\x20\x09-\x0D]").search(text, at + _PIECE)
+                piece = text[at : len(text) if more is None else more.start()]
+            out.append(_piece_hashes(piece))
+            at += len(piece)
+        return np.concatenate(out)
+    return _piece_hashes(text)
+
+
+def _piece_hashes(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(~_SPACE[b], prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        power, inverse = _powers(len(b))
+        sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[b] * power[: len(b)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 #: Odd factors of the words of a shingle.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Hashes, discard, mix, quiet, release, scratch, shingle_hashes, small_batches, table, text_bytes, word_hashes, words, written
+from .common import discard, mix, quiet, release, scratch, shingle_hashes, small_batches, table, text_bytes, word_hashes, written
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -69,8 +69,8 @@ def band_hashes(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shingles(text: bytes | None, width: int, known: Hashes) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(words(text), known), width))
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes(text), width))
 
 
 def set_id(s: np.ndarray) -> bytes:
@@ -88,11 +88,10 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Hashes()
         for batch in batches:
             out = []
             for text in batch["text"]:
-                s = shingles(text, width, known)
+                s = shingles(text, width)
                 if not len(s):
                     out.append((0, None, None))
                     continue
@@ -100,7 +99,6 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 out.append((len(s), set_id(s), band_hashes(values, bands, rows)))
             got = pd.DataFrame(out, columns=["n_shingles", "sid", "bands"])
             yield pd.concat([batch.drop(columns=["text"]).reset_index(drop=True), got], axis=1)
-        known.clear()
         release()
 
     keyed = own.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
@@ -115,9 +113,8 @@ def full_sets(asked: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
     texts = docs.select(F.xxhash64(bytes_).alias("t1"), F.xxhash64(F.lit(7), bytes_).alias("t2"), bytes_.alias("text"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Hashes()
         for batch in batches:
-            yield pd.DataFrame({"sid": batch["sid"], "s": [shingles(t, width, known).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"sid": batch["sid"], "s": [shingles(t, width).tobytes() for t in batch["text"]]})
 
     found = texts.join(F.broadcast(keys) if few else keys, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("sid", "text")
     return written(found.dropDuplicates(["sid"]).mapInPandas(hashed, "sid binary, s binary"), "sets")
