@@ -1,16 +1,19 @@
 """Operator 4: main text by equivalence-class template deduction.
 
-Tokens of a page are its element paths (tags with class and id words, digits folded). The occurrence vector
-of a token over the pages of a host is never built: its signature is the sum over pages of a hash of page
-and count, which partial aggregation adds up, so tokens of equal signature are those of equal vectors. Tokens
-with one vector form a class; a class is valid if its tokens occur once on most of the host's pages, or on several pages and
-it has more than one token, and its tokens nest (each token's path names its ancestors, so a class lies in the slot
-of the deepest template token above it). What occurs once on most pages is the host's template and
-its tokens are the slots (pages without any container do not count, so null, broken or odd pages leave the template as it is); the main slot is the template's article or main element, or else the deepest
-container that holds most of its pages' text outside the boilerplate slots (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, by tag, role, class or id). Each page then gives the blocks of
-its main slot but those whose text, at the same path, stands on most of the host's distinct pages (from five
-pages on); a page without that slot falls back on its article or main element, then its body.
+Tokens of a page are its containers (paths of tags with class and id words, digits folded) and its texts (a block
+with its path). The occurrence vector of a token over a host's pages is never built: its signature is two sums
+over pages of a hash of page and count, which partial aggregation adds up, so tokens of equal signature are those of
+equal vectors. They form a class. A class is valid if it has `members` tokens or more and stands, once a page, on most of
+the host's pages; its containers are slots, nested by their paths, and its texts are the template's own.
+
+Then the slots are told apart by what fills them: the text of a menu or notice comes again on other pages, that of
+an article does not. A slot whose texts repeat more than twice as often as the main slot's is boilerplate, named or not. The
+main slot is the deepest one with most of the host's distinct text; an article or main element with half of it
+goes first. Fixed lists of tags, roles and class words break ties alone: among texts that vary from page to
+page they take out comments and adverts, unless nearly all varying text of the host stands in such containers.
+
+Each page gives the blocks of its main slot that stand in no boilerplate slot and are no text of the template; a page
+without that slot falls back on its article or main element, then its body.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as browsers do in the main
 (unclosed p, li, td and tr end by themselves, a stray end tag is ignored, an unclosed comment runs to the
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, table, written
+from .common import MASK, small_batches, table, written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -49,14 +52,18 @@ OUT_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# Never text, whatever the classes say.
+HARD_TAGS = frozenset("button canvas datalist head iframe map math noscript object optgroup option select svg template video audio".split()) | RAW
 KEEP_TAGS = frozenset("html body main article".split())
-CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
+CONTAINERS = frozenset("article aside body center dialog div fieldset footer form header main menu nav ol section table tbody td tr ul".split())
+#: Levels of containers that can be slots.
+LEVELS = 64
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool]:
-    """The token of an element, and whether it is boilerplate."""
-    token, out = tag, tag in OUT_TAGS
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The token of an element, whether its text never counts, and whether the lists name it boilerplate."""
+    token, out, never = tag, tag in OUT_TAGS, tag in HARD_TAGS
     if attributes:
         found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(attributes)}
         if found:
@@ -65,28 +72,25 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
             role = found.get("role", "")
             if role == "main" or found.get("itemprop") == "articlebody":
                 token += "!main"
-            hidden = "hidden" in found or found.get("aria-hidden") == "true"
+            never = never or "hidden" in found or found.get("aria-hidden") == "true"
             # A comment in an article element is still a comment; html, body and main may name what they have beside them.
-            out = out or hidden or role in OUT_ROLES or (tag not in KEEP_TAGS and not OUT_WORDS.isdisjoint(WORDS.findall(named))) or (tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(WORDS.findall(named)))
-    return token, out
+            out = out or role in OUT_ROLES or (tag not in KEEP_TAGS and not OUT_WORDS.isdisjoint(WORDS.findall(named))) or (tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(WORDS.findall(named)))
+    return token, never or (out and tag in INLINE), out
 
 
 class Page:
     """Elements and blocks of a page."""
 
     def __init__(self, source: str):
-        self.elements: list[list] = []  # path, token, tag, characters of text within, parent's index, boilerplate
+        self.elements: list[list] = []  # path, token, tag, containers on the way (own included), parent's index, never text, named boilerplate
         self.blocks: list[tuple[str, int]] = []  # text, element
         self.kinds: dict = {}
         self._read(source)
-        for own in reversed(self.elements):
-            if own[4] >= 0 and not own[5]:
-                self.elements[own[4]][3] += own[3]
 
     def _read(self, source: str) -> None:
         stack, text, at, end = [], [], 0, len(source)  # stack: (tag, element, pieces of text before an inline element)
         elements, blocks, kinds = self.elements, self.blocks, self.kinds
-        elements.append([0, "", "", 0, -1, False])
+        elements.append([0, "", "", (), -1, False, False])
         stack.append(("", 0, 0))
 
         def flush() -> None:
@@ -99,7 +103,6 @@ class Page:
                     block = SPACE.sub(" ", html.unescape("".join(text))).strip()
                     if block:
                         blocks.append((block, here))
-                        elements[here][3] += len(block)
                 text.clear()
 
         def close(depth: int) -> None:
@@ -134,7 +137,7 @@ class Page:
             key = (tag, m[3])
             if (kind := kinds.get(key)) is None:
                 kind = kinds[key] = _kind(tag, m[3])
-            token, out = kind
+            token, never, out = kind
             if tag in RAW:
                 stop = re.compile(f"</{tag}", re.I).search(source, at)
                 at = end if stop is None else stop.start()
@@ -148,7 +151,7 @@ class Page:
                 else:
                     text.append(" " if tag == "br" else "")
                 continue
-            if tag in INLINE and not out:
+            if tag in INLINE and not never:
                 continue
             if tag not in INLINE:
                 flush()
@@ -164,8 +167,10 @@ class Page:
                             if stack[-1][0] not in ends:
                                 break
             parent = stack[-1][1]
-            out = out or elements[parent][5]
-            elements.append([hash_path(elements[parent][0], token), token, tag, 0, parent, out])
+            path, slots = hash_path(elements[parent][0], token), elements[parent][3]
+            if tag in CONTAINERS and len(slots) < LEVELS and not (never or elements[parent][5]):
+                slots = (*slots, path)
+            elements.append([path, token, tag, slots, parent, never or elements[parent][5], out or elements[parent][6]])
             stack.append((tag, len(elements) - 1, len(text)))
         flush()
 
@@ -181,66 +186,95 @@ def host_of(url: str):
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each token of each page. text: whether it is a text; slot: its path or that of the container it stands in."""
     for batch in batches:
         out = []
         for host, key, source in zip(batch["host"], batch["page"], batch["html"], strict=True):
             page, seen = Page(source or ""), {}
-            for i, (path, token, tag, size, _, boiler) in enumerate(page.elements):
-                if not boiler and tag in CONTAINERS:
-                    own = seen.setdefault(path, [token, tag, 0, 0, i])
-                    own[2] += 1
-                    own[3] += size
-            body = max((x[3] for x in seen.values() if x[1] == "body"), default=-1)
-            out += [(host, path, token, tag, n, size, at, hash_path(key, str(n)) >> 2, body, int(k == 0)) for k, (path, (token, tag, n, size, at)) in enumerate(seen.items())]
-        yield pd.DataFrame(out, columns=["host", "path", "token", "tag", "n", "size", "at", "sign", "body", "first"])
-
-
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for host, source in zip(batch["host"], batch["html"], strict=True):
-            page = Page(source or "")
-            same = hash_path(0, source or "")
-            out += [(host, x, same) for x in {hash_path(page.elements[at][0], text) for text, at in page.blocks}]
-        yield pd.DataFrame(out, columns=["host", "text", "page"])
-
-
-def template_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 5) -> DataFrame:
-    """host, texts: the text tokens (a block with its element's path) that stand on most of a host's distinct pages with text, if these are at least `least`."""
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    seen = rows.mapInPandas(_texts, "host string, text long, page long").distinct()
-    counts = rows.filter("html != ''").select("host", F.xxhash64("html").alias("page")).distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_pages"))
-    held = seen.groupBy("host", "text").agg(F.count(F.lit(1)).alias("pages")).filter(2 * F.col("pages") > least)
-    both = held.join(counts.filter(F.col("host_pages") >= least), F.col("host") == F.col("h")).filter(2 * F.col("pages") > F.col("host_pages"))
-    return both.groupBy("host").agg(F.collect_list("text").alias("texts"))
-
-
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: float = 0.8) -> DataFrame:
-    """host, path, token, class_id, is_template, is_main: the valid classes of each host's container tokens."""
-    rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(html_col).cast("string").alias("html"))
-    seen = rows.mapInPandas(_tokens, "host string, path long, token string, tag string, n int, size long, at int, sign long, body long, first int")
-    sums = seen.groupBy("host", "path", "token", "tag").agg(F.sum(F.col("sign").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum("size").alias("size"), F.avg("at").alias("at"), F.sum(F.when(F.col("body") >= 0, F.col("body"))).alias("body"), F.sum("first").alias("first"))
-    sums = written(sums, "tokens")
-    # Pages without a container (null, empty or broken html) say nothing about the template.
-    counts = sums.groupBy("host").agg(F.sum("first").alias("host_pages"))
-    one = Window.partitionBy("host", "vector", "pages")
-    valid = (
-        sums.join(counts, "host")
-        .withColumn("is_template", 2 * F.col("once") > F.col("host_pages"))
-        .withColumn("members", F.count(F.lit(1)).over(one))
-        .filter(F.col("is_template") | ((F.col("pages") > 1) & (F.col("members") > 1)))
-        .withColumn("class_id", F.xxhash64("vector", "pages"))
-    )
-    named = F.col("is_template") & (F.col("tag").isin("article", "main") | F.col("token").endswith("!main"))
-    ample = F.col("is_template") & F.coalesce(F.col("size") >= most * F.col("body"), F.lit(False))
-    ranked = valid.withColumn("class", F.when(named, 0).when(ample, 1).otherwise(2))
-    # Named containers by their text; others by depth: the later a container of the same text begins, the deeper it lies.
-    order = Window.partitionBy("host").orderBy("class", F.when(F.col("class") == 0, -F.col("size")).otherwise(F.lit(0)), F.desc("at"), "path")
-    return ranked.withColumn("is_main", (F.row_number().over(order) == 1) & (F.col("class") < 2)).select("host", "path", "token", "class_id", "is_template", "is_main")
-
-
-def main_text(source: str | None, main: int | None, template: frozenset = frozenset()) -> str:
-    """The blocks of a page's main slot without the template's texts; a slot that holds nothing else keeps them."""
+            for path, token, tag, slots, _, never, named in page.elements:
+                if not never and slots and slots[-1] == path:
+                    own = seen.setdefault((False, path), [path, 0, 0, named, tag in ("article", "main") or token.endswith("!main"), slots])
+                    own[1] += 1
+            for text, at in page.blocks:
+                e = page.elements[at]
+                own = seen.setdefault((True, hash_path(e[0], text)), [e[3][-1] if e[3] else 0, 0, len(text), e[6], False, None])
+                own[1] += 1
+            for i, ((is_text, token), (slot, n, size, named, article, slots)) in enumerate(seen.items()):
+                sign = hash_path(key, str(n)) & MASK
+                out.append((host, token, is_text, slot, n, size, named, article, list(slots) if slots else None, sign >> 32, sign & 0xFFFFFFFF, int(i == 0)))
+        yield pd.DataFrame(out, columns=["host", "token", "text", "slot", "n", "size", "named", "article", "slots", "sign1", "sign2", "first"])
+
+
+TOKENS = "host long, token long, text boolean, slot long, n int, size int, named boolean, article boolean, slots array<long>, sign1 long, sign2 long, first int"
+
+
+def host_key(url: str):
+    return F.xxhash64(host_of(url))
+
+
+def tokens(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The tokens of each host with their vectors' signatures (sign1, sign2, pages), written; a slot's texts that stand on one page are one row without token."""
+    rows = pages.select(host_key(url_col).alias("host"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(html_col).cast("string").alias("html"))
+    seen = rows.mapInPandas(_tokens, TOKENS)
+    one = seen.groupBy("host", "text", "token").agg(
+        F.first("slot").alias("slot"), F.first("size").alias("size"), F.max("named").alias("named"), F.max("article").alias("article"), F.max("slots").alias("slots"), F.sum("sign1").alias("sign1"),
+        F.sum("sign2").alias("sign2"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum("first").alias("first"),
+    )
+    key = F.when(~F.col("text") | (F.col("pages") > 1), F.col("token"))
+    some = one.withColumn("token", key).groupBy("host", "text", "slot", "named", "token").agg(
+        F.max("article").alias("article"), F.max("slots").alias("slots"), F.sum("sign1").alias("sign1"), F.sum("sign2").alias("sign2"), F.max("pages").alias("pages"), F.max("once").alias("once"),
+        F.sum("size").cast("double").alias("distinct"), F.sum(F.col("size").cast("double") * F.col("n")).alias("chars"), F.sum("first").alias("first"),
+    )
+    return written(some, "tokens")
+
+
+def classes(found: DataFrame, members: int = 2) -> DataFrame:
+    """host, token, text, slot, slots, article, pages, class_id of the tokens in valid classes; host_pages: the host's pages that have tokens."""
+    counts = found.groupBy("host").agg(F.sum("first").alias("host_pages"))
+    one = Window.partitionBy("host", "sign1", "sign2", "pages")
+    valid = found.filter("token is not null").withColumn("members", F.count(F.lit(1)).over(one)).join(counts, "host")
+    # Pages without a token (null, empty or broken html) say nothing about the template.
+    valid = valid.filter((F.col("members") >= members) & (2 * F.col("pages") > F.col("host_pages")) & (2 * F.col("once") > F.col("pages")))
+    return valid.select("host", "token", "text", "slot", "slots", "article", "pages", "host_pages", F.xxhash64("sign1", "sign2", "pages").alias("class_id"))
+
+
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", members: int = 2, most: float = 0.8, least: int = 5) -> DataFrame:
+    """For each host (host_key): main (path of the main slot), named (whether the lists count), keep and drop (its slots), texts (of the template)."""
+    small_batches(pages.sparkSession)
+    found = tokens(pages, url_col, html_col)
+    valid = written(classes(found, members), "classes")
+    slots = valid.filter("not text").select("host", F.col("token").alias("path"), "article", F.size("slots").alias("depth"))
+    slots = slots.union(found.select("host").distinct().select("host", F.lit(0).cast("long"), F.lit(False), F.lit(0)))
+    # The slots that lie around each container, the deepest last.
+    chains = found.filter("not text and token is not null").select("host", F.col("token").alias("of"), F.posexplode("slots").alias("pos", "path"))
+    around = chains.join(slots.select("host", "path"), ["host", "path"]).groupBy("host", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "path"))).alias("in"))
+    texts = found.filter("text").select("host", F.col("slot").alias("of"), "named", "distinct", "chars")
+    # The page as a whole (0) is the outermost slot of all.
+    in_ = F.concat(F.array(F.lit(0).cast("long")), F.coalesce(F.col("in.path"), F.array().cast("array<long>"))).alias("in")
+    placed = texts.join(around, ["host", "of"], "left").groupBy("host", in_).agg(
+        F.sum("distinct").alias("distinct"), F.sum("chars").alias("chars"), F.sum(F.when(~F.col("named"), F.col("distinct")).otherwise(0.0)).alias("free"), F.sum(F.when(~F.col("named"), F.col("chars")).otherwise(0.0)).alias("free_chars")
+    )
+    placed = written(placed, "placed")
+    totals = placed.groupBy("host").agg(F.sum("distinct").alias("all"), F.sum("free").alias("all_free")).withColumn("lists", F.col("all_free") >= (1 - most) * F.col("all"))
+    within = placed.select("host", F.explode("in").alias("path"), "distinct", "free", "chars", "free_chars").groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("distinct", "free", "chars", "free_chars")])
+    each = within.join(totals, "host").join(slots, ["host", "path"])
+    own = F.when(F.col("lists"), F.col("free")).otherwise(F.col("distinct"))
+    share = own / F.when(F.col("lists"), F.col("all_free")).otherwise(F.col("all"))
+    rank = F.when(F.col("article") & (share >= 0.5), 0).when(share >= most, 1).otherwise(2)
+    best = F.min(F.struct(rank.alias("rank"), F.when(rank == 0, -own).otherwise(-F.col("depth")).alias("o"), "path", (own / F.when(F.col("lists"), F.col("free_chars")).otherwise(F.col("chars"))).alias("fresh"))).alias("m")
+    main = each.filter(own > 0).groupBy("host").agg(best).filter("m.rank < 2").select("host", F.col("m.path").alias("main"), F.col("m.fresh").alias("fresh"))
+    # Slots by the texts that stand in them and in no deeper slot.
+    counts = found.groupBy("host").agg(F.sum("first").alias("host_pages"))
+    direct = placed.select("host", F.element_at("in", -1).alias("path"), "distinct", "chars").groupBy("host", "path").agg(F.sum("distinct").alias("distinct"), F.sum("chars").alias("chars"))
+    told = slots.select("host", "path").join(direct, ["host", "path"], "left").join(main, "host").join(counts, "host")
+    told = told.withColumn("again", F.coalesce((F.col("host_pages") >= least) & (F.col("path") != F.col("main")) & (2 * F.col("distinct") < F.col("fresh") * F.col("chars")), F.lit(False)))
+    sides = told.groupBy("host").agg(F.collect_list(F.when(~F.col("again"), F.col("path"))).alias("keep"), F.collect_list(F.when(F.col("again"), F.col("path"))).alias("drop"))
+    said = valid.filter("text").join(main, "host").filter((F.col("host_pages") >= least) & (2 < F.col("fresh") * F.col("pages"))).groupBy("host").agg(F.collect_list("token").alias("texts"))
+    return totals.select("host", F.col("lists").alias("named")).join(main.drop("fresh"), "host", "left").join(sides, "host", "left").join(said, "host", "left")
+
+
+def main_text(source: str | None, main: int | None = None, named: bool = True, keep: frozenset = frozenset(), drop: frozenset = frozenset(), texts: frozenset = frozenset()) -> str:
+    """The blocks of a page's main slot without boilerplate slots and the template's texts; a slot that holds nothing else keeps them."""
     if not source:
         return ""
     page = Page(source)
@@ -249,7 +283,7 @@ def main_text(source: str | None, main: int | None, template: frozenset = frozen
     def mark(test) -> bool:
         found = False
         for i, e in enumerate(page.elements):
-            inside[i] = not e[5] and (test(e) or (e[4] >= 0 and inside[e[4]]))
+            inside[i] = not e[5] and not (named and e[6]) and (test(e) or (e[4] >= 0 and inside[e[4]]))
             found |= inside[i]
         return found
 
@@ -260,28 +294,46 @@ def main_text(source: str | None, main: int | None, template: frozenset = frozen
     ):
         mark(lambda e: e[4] < 0)
     own = [(text, at) for text, at in page.blocks if inside[at]]
-    varying = [x for x in own if hash_path(page.elements[x[1]][0], x[0]) not in template] if template else own
+    if not (drop or texts):
+        return "\n".join(text for text, _ in own)
+    boiler: dict = {}
+
+    def repeated(at: int) -> bool:
+        slots = page.elements[at][3]
+        if slots not in boiler:
+            boiler[slots] = next((x in drop for x in reversed(slots) if x in drop or x in keep), False)
+        return boiler[slots]
+
+    varying = [x for x in own if not repeated(x[1]) and hash_path(page.elements[x[1]][0], x[0]) not in texts]
     return "\n".join(text for text, _ in varying or own)
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 200_000) -> DataFrame:
-    """Every column of pages but the html, with text and n_chars."""
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_slots: int = 200_000, **options) -> DataFrame:
+    """Every column of pages but the html, with text and n_chars. options: of templates."""
     small_batches(pages.sparkSession)
-    mains = written(templates(pages, url_col, html_col).filter("is_main").select(F.col("host").alias("__host"), F.col("path").alias("__main")), "templates")
-    texts = template_texts(pages, url_col, html_col).withColumnRenamed("host", "__h")
-    both = mains.join(texts, F.col("__host") == F.col("__h"), "full").select(F.coalesce("__host", "__h").alias("__host"), "__main", F.col("texts").alias("__texts"))
-    mains = written(both, "template-texts")
-    # Hosts and template texts together: both are sent.
-    if (mains.agg(F.sum(1 + F.coalesce(F.array_size("__texts"), F.lit(0)))).first()[0] or 0) <= broadcast_hosts:
-        mains = F.broadcast(mains)
+    found = templates(pages, url_col, html_col, **options)
+    parts = ["__main", "__named", "__keep", "__drop", "__texts"]
+    of_host = written(found.select(F.col("host").alias("__host"), *[F.col(p[2:]).alias(p) for p in parts]), "templates")
+    # Hosts with their slots and texts: all are sent.
+    size = F.sum(1 + sum((F.coalesce(F.array_size(p), F.lit(0)) for p in parts[2:]), F.lit(0)))
+    if (of_host.agg(size).first()[0] or 0) <= broadcast_slots:
+        of_host = F.broadcast(of_host)
+
+    def run(source: pd.Series, main: pd.Series, named: pd.Series, *sets: pd.Series) -> pd.Series:
+        known: dict = {}
+
+        def frozen(x) -> frozenset:
+            if x is None or not len(x):
+                return frozenset()
+            raw = x.tobytes()
+            return known.get(raw) or known.setdefault(raw, frozenset(x.tolist()))
 
-    def run(source: pd.Series, main: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([main_text(s, None if pd.isna(m) else int(m), frozenset() if t is None else frozenset(t.tolist())) for s, m, t in zip(source, main, texts, strict=True)], dtype=object)
+        return pd.Series([main_text(s, None if pd.isna(m) else int(m), bool(n) or pd.isna(n), *map(frozen, x)) for s, m, n, *x in zip(source, main, named, *sets, strict=True)], dtype=object)
 
     from pyspark.sql.types import StringType
 
-    joined = pages.withColumn("__of", host_of(url_col)).join(mains.withColumn("__main", F.col("__main").cast("string")), F.col("__of") == F.col("__host"), "left")
-    text = F.pandas_udf(run, StringType())(F.col(html_col).cast("string"), F.col("__main"), F.col("__texts"))
+    joined = pages.withColumn("__of", host_key(url_col)).join(of_host.withColumn("__main", F.col("__main").cast("string")), F.col("__of") == F.col("__host"), "left")
+    text = F.pandas_udf(run, StringType())(F.col(html_col).cast("string"), *[F.col(p) for p in parts])
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "text", "n_chars")]
     return joined.select(*kept, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

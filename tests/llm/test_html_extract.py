@@ -32,9 +32,69 @@ def test_the_template_tells_the_main_slot(spark):
     assert out[3]["text"].split("\n")[0] == "Head 3" and "Home" not in out[3]["text"] and "Copyright" not in out[3]["text"]
     assert out[3]["n_chars"] == len(out[3]["text"]) and out[10]["text"] == "A" and out[11]["text"] == "" and out[11]["n_chars"] == 0
     assert H.extract(d).count() == len(rows) and H.extract(d.limit(0)).count() == 0
-    assert {r["page_id"]: r["text"] for r in H.extract(d, broadcast_hosts=0).collect()} == {i: r["text"] for i, r in out.items()}
-    t = [r for r in H.templates(d).collect() if r["host"] == "x.example"]
-    assert len({r["class_id"] for r in t if r["is_template"]}) == 1 and sum(r["is_main"] for r in t) == 1
+    assert {r["page_id"]: r["text"] for r in H.extract(d, broadcast_slots=0).collect()} == {i: r["text"] for i, r in out.items()}
+    valid = [r for r in H.classes(H.tokens(d)).collect() if r["pages"] == 6]
+    assert len({r["class_id"] for r in valid}) == 1 and sum(not r["text"] for r in valid) == 4 and sum(r["text"] for r in valid) == 2
+
+
+def vectors(sources):
+    """Brute force: the occurrence vector of every token of a host's pages, built outright."""
+    out = {}
+    for i, source in enumerate(sources):
+        p = H.Page(source or "")
+        for path, _, _, slots, _, never, _ in p.elements:
+            if not never and slots and slots[-1] == path:
+                out.setdefault((False, path), [0] * len(sources))[i] += 1
+        for text, at in p.blocks:
+            out.setdefault((True, H.hash_path(p.elements[at][0], text)), [0] * len(sources))[i] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def unnamed(i, comments=""):
+    """A page whose containers have no telling names."""
+    story = "".join(f"<p>Part {k} of {i} {'tale ' * (5 + (7 * i + k) % 9)}</p>" for k in range(4))
+    tip = ["Buy one and get two.", "Never again be late.", "Read more tomorrow."][i % 3]
+    return f"<body><div class='a'><p>Start</p><p>Contact</p></div><div class='b'><p>{tip}</p></div><div class='c'><h1>Story {i}</h1>{story}<div class='d'><p>Prices include tax.</p></div>{comments}</div><div class='e'>Rights reserved</div></body>"
+
+
+def test_classes_are_those_of_equal_vectors(spark):
+    import random
+
+    rng = random.Random(2)
+    sources = [unnamed(i) for i in range(9)] + [unnamed(9).replace("<div class='e'>", "<div class='f'>"), None, "<p>odd", unnamed(3).replace("Start", "Begin") + "<div class='a'>two</div>"]
+    sources += [f"<body>{''.join(rng.choice(['<div class=q>', '<ul>', '<p>x</p>', '</div>', '<section>', 'text']) for _ in range(30))}" for _ in range(4)]
+    d = spark.createDataFrame([(i, f"https://h.example/{i}", s) for i, s in enumerate(sources)], "page_id long, url string, html string").repartition(3)
+    want = vectors(sources)
+    holders: dict = {}
+    for token, v in want.items():
+        holders.setdefault(v, set()).add(token)
+    n = sum(any(v[i] for v in want.values()) for i in range(len(sources)))
+    valid = {v: t for v, t in holders.items() if len(t) > 1 and 2 * sum(x > 0 for x in v) > n and 2 * sum(x == 1 for x in v) > sum(x > 0 for x in v)}
+    got: dict = {}
+    for r in H.classes(H.tokens(d)).collect():
+        assert r["host_pages"] == n
+        got.setdefault(r["class_id"], set()).add((r["text"], r["token"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, valid.values())) and got
+
+
+def test_classes_tell_unnamed_boilerplate(spark):
+    """Menus, rotating notices and notes within the main slot go without any name; without classes they stay."""
+    rows = [(i, f"https://u.example/{i}", unnamed(i)) for i in range(12)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = {r["page_id"]: r["text"] for r in H.extract(d).collect()}
+    off = {r["page_id"]: r["text"] for r in H.extract(d, members=10**9).collect()}
+    for i in range(12):
+        assert told[i].split("\n")[0] == f"Story {i}" and len(told[i].split("\n")) == 5 and all(x.startswith("Part") for x in told[i].split("\n")[1:])
+        assert "Start" in off[i] and "Rights" in off[i]
+
+
+def test_lists_only_break_ties(spark):
+    """Varying comments go by their name; an article in a container of such a name stays, as all varying text is there."""
+    rows = [(i, f"https://v.example/{i}", unnamed(i, f"<div class='comments'><p>I liked it {i} {'so ' * i}</p></div>")) for i in range(8)]
+    rows += [(100 + i, f"https://w.example/{i}", unnamed(i).replace("class='c'", "class='social share'")) for i in range(8)]
+    out = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("liked" not in out[i] and out[i].startswith(f"Story {i}\nPart 0") and "Prices" not in out[i] for i in range(8))
+    assert all(out[100 + i].startswith(f"Story {i}\nPart 0") and "Start" not in out[100 + i] for i in range(8))
 
 
 def test_odd_pages_leave_the_template(spark):
@@ -53,7 +113,7 @@ def test_equal_text_within_the_main_slot_is_template(spark):
     sources = [f"<body><div class='text'><p>Story {i} {'word ' * 30}</p>{same}<p>End {i}</p></div></body>" for i in range(7)]
     d = spark.createDataFrame([(i, f"http://s.example/{i}", x) for i, x in enumerate(sources)] + [(90 + i, f"http://t.example/{i}", sources[0]) for i in range(7)], "page_id long, url string, html string")
     for most in (200_000, 0):
-        out = {r["page_id"]: r["text"] for r in H.extract(d, broadcast_hosts=most).collect()}
+        out = {r["page_id"]: r["text"] for r in H.extract(d, broadcast_slots=most).collect()}
         assert all(out[i].startswith(f"Story {i} word") and out[i].endswith(f"End {i}") and "prices" not in out[i] for i in range(7))
         assert all("prices" in out[90 + i] for i in range(7))
 
