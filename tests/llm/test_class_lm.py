@@ -20,7 +20,7 @@ def test_counts_base_and_gain(spark):
     c = Counter(w for t in train for w in (t or "").lower().split())
     n, v = sum(c.values()) + len(train), len(c) + 1
     for dictionary in (10**6, 20, 0):
-        got = B.score(d, held, k=6, units=50, endings=16, dictionary=dictionary).collect()
+        got = B.score(d, held, k=6, units=50, dictionary=dictionary).collect()
         assert len(got) == len(rows)
         by = {}
         for r in got:
@@ -36,24 +36,90 @@ def test_counts_base_and_gain(spark):
             assert all(r["score"] > r["base_score"] for r in held_rows)
 
 
-def test_probabilities_add_up(spark):
-    """The words that may follow a word, and the end, have probability 1 together: scores of one-word texts tell them."""
-    rows = [(i, t) for i, t in enumerate(["a b c", "a b", "c a", "b b a", "d a"])]
-    probes = [(100 + i, w) for i, w in enumerate(["a", "b", "c", "d"])] + [(200, "")]
-    d = spark.createDataFrame(rows + probes, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in B.score(d, F.col("doc_id") >= 100, k=3, units=4, endings=1).collect()}
-    known = sum(10 ** got[100 + i]["score"] for i in range(4))
-    assert known < 1 and 10 ** got[200]["score"] < 1
-    assert all(np.isfinite(r["score"]) and r["perplexity"] >= 1 for r in got.values())
+@pytest.mark.parametrize("units, dictionary", [(1000, 1000), (7, 1000), (7, 20), (0, 0)])
+def test_scores_and_probabilities_by_brute_force(spark, monkeypatch, units, dictionary):
+    """The classes come from the model; counts, probabilities and scores are worked out here word by word."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + str(int(rng.random() ** 3 * 9)) for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, None), (61, "A0 never a0 Seen never")]
+    own: dict = {}
+    tagged = B.tagged
 
+    def caught(encoded, others, classes, logs, unseen):
+        words = [r["word"] for r in others.collect()]
+        own.update({r["word"]: r["class"] for r in others.collect()}, unseen=unseen)
+        known = caught.known
+        own.update({w: int(c) for w, c in zip(known, classes, strict=True)})
+        assert not set(words) & set(known[: min(units, len(known))])
+        return tagged(encoded, others, classes, logs, unseen)
 
-def test_exchange_raises_the_likelihood():
-    rng = np.random.default_rng(0)
-    true = rng.integers(0, 3, 60)
-    behind = np.array([rng.multinomial(200, [0.8 if c == k else 0.1 for k in range(3)] + [0.0]) for c in true], dtype=float)
-    got = B.exchange(behind, behind, rng.integers(0, 3, 60), 3, 30)
-    pure = sum(Counter(true[got == k].tolist()).most_common(1)[0][1] for k in set(got.tolist()))
-    assert pure >= 50
+    frequent = B.frequent
+
+    def first(vocabulary, most):
+        caught.known, counts = frequent(vocabulary, most)
+        return caught.known, counts
+
+    monkeypatch.setattr(B, "tagged", caught)
+    monkeypatch.setattr(B, "frequent", first)
+    k, pull = 4, 10.0
+    got = {r["doc_id"]: r for r in B.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 2, k=k, units=units, dictionary=dictionary, pull=pull).collect()}
+    unseen = own.pop("unseen")
+    train = [(t or "").lower().encode().split() for i, t in rows if i % 5 != 2]
+    count = Counter(w for t in train for w in t)
+    assert set(own) == set(count)
+    cls = lambda w: own.get(w, unseen)
+    weight = [sum(n + 1 for w, n in count.items() if own[w] == c) + (c == unseen) for c in range(k)] + [len(train) + 2]
+    pairs = Counter(x for t in train for x in zip([k, *map(cls, t)], [*map(cls, t), k], strict=True))
+    move = lambda a, b: (pairs[a, b] + pull * weight[b] / sum(weight)) / (sum(pairs[a, x] for x in range(k + 1)) + pull)
+    emit = lambda w: (count[w] + 1) / weight[cls(w)]
+    for before in range(k + 1):
+        assert abs(sum(move(before, own[w]) * emit(w) for w in count) + move(before, unseen) / weight[unseen] + move(before, k) - 1) < 1e-9
+    for i, t in rows:
+        w = (t or "").lower().encode().split()
+        c = [k, *map(cls, w), k]
+        want = sum(math.log10(move(a, b)) for a, b in zip(c, c[1:], strict=False)) + sum(math.log10(emit(x)) for x in w)
+        assert abs(got[i]["score"] - want) < 1e-6
+
+
+def test_exchange_raises_the_likelihood(spark, monkeypatch):
+    """Gains are those of the class bigram likelihood worked out from word pairs, rounds never lower it, and true classes are found."""
+    rng = random.Random(7)
+    true = [rng.randrange(3) for _ in range(45)]
+    by = [[w for w in range(45) if true[w] == c] for c in range(3)]
+    texts = []
+    for _ in range(400):
+        c, t = rng.randrange(3), []
+        for _ in range(12):
+            t.append(rng.choice(by[c]))
+            c = (c + 1) % 3 if rng.random() < 0.9 else rng.randrange(3)
+        texts.append(t)
+    known = [f"w{i:02}".encode() for i in range(45)]
+    rows = spark.createDataFrame([(i, False, " ".join(known[w].decode() for w in t).encode()) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text binary")
+    train = B.encoded(rows, known)
+    classes = np.minimum(np.arange(45), 2)
+    counts = B.contexts(train, classes, 3)
+    words = np.zeros((46, 46))
+    for t in texts:
+        for a, b in zip([45, *t], [*t, 45], strict=True):
+            words[a, b] += 1
+
+    def of(c):
+        onto = np.zeros((46, 5))
+        onto[np.arange(46), [*c, 4]] = 1
+        return B.likelihood(onto.T @ words @ onto)
+
+    assert abs(of(classes) - B.likelihood(counts[3])) < 1e-6 and counts[2].sum() == np.trace(words[:45, :45])
+    for w in (0, 3, 44):  # the gain of one move, alone
+        one = [x.copy() for x in counts]
+        for i in (0, 1, 2):
+            one[i][np.arange(45) != w] = 0
+        moved, gain = B.exchange(*one, classes, 3, 1)
+        assert abs(of(moved) - of(classes) - gain[w]) < 1e-6
+    monkeypatch.setattr(B, "seeded", lambda train, n, k: classes)  # from a poor beginning
+    got, pairs, best = B.cluster(train, 45, 3, 6)
+    assert all(a < b for a, b in zip(best, best[1:], strict=False)) and len(best) > 1 and abs(best[-1] - of(got)) < 1e-6
+    monkeypatch.undo()
+    got, pairs, best = B.cluster(train, 45, 3, 6)
+    assert best[-1] >= of(np.array(true)) - 1e-6 and sum(Counter(true[w] for w in range(45) if got[w] == c).most_common(1)[0][1] for c in set(got.tolist())) >= 43
 
 
 def test_frequent_is_bounded(spark):
@@ -62,8 +128,8 @@ def test_frequent_is_bounded(spark):
 
 
 def test_empty(none, docs):
-    assert B.score(none, F.lit(False), k=2, units=4, endings=2).count() == 0
-    r = B.score(docs, F.lit(True), k=2, units=4, endings=2).collect()
+    assert B.score(none, F.lit(False), k=2, units=4).count() == 0
+    r = B.score(docs, F.lit(True), k=2, units=4).collect()
     assert all(x["n_known"] == 0 and x["train_tokens"] == 0 and np.isfinite(x["score"]) for x in r)
 
 
