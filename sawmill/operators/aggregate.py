@@ -13,10 +13,13 @@ from sawmill.operators.filters import is_error, is_slow
 
 
 def keyed_queries(entries: DataFrame, threshold_ms: float, numbered: bool = False) -> DataFrame:
-    """Slow entries with their statement and fingerprint."""
+    """Slow entries with their statement and fingerprint. Long statements group by the whole of their shape: what is over
+    500 characters is cut for display, ended by a hash of all of it."""
     shape = X.fingerprint_numbered if numbered else X.fingerprint
     text = F.coalesce("query", "message")
-    return entries.filter(is_slow(threshold_ms)).withColumn("statement", text).withColumn("fingerprint", F.substring(shape(text), 1, 500))
+    rows = entries.filter(is_slow(threshold_ms)).withColumn("statement", text).withColumn("fingerprint", shape(text))
+    short = F.concat(F.substring("fingerprint", 1, 483), F.lit("#"), F.substring(F.md5(F.col("fingerprint").cast("binary")), 1, 16))
+    return rows.withColumn("fingerprint", F.when(F.length("fingerprint") > 500, short).otherwise(F.col("fingerprint")))
 
 
 def slow_queries(entries: DataFrame, threshold_ms: float = 1000.0, top: int | None = 25, numbered: bool = False, approximate: bool = False) -> DataFrame:
@@ -67,36 +70,40 @@ def error_categories(entries: DataFrame) -> DataFrame:
     return entries.filter(is_error()).groupBy(X.category(F.col("message")).alias("category")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def connection_class() -> Column:
+def connection_class(entries: DataFrame) -> Column:
     """connect, disconnect, auth_failure or null: an entry counts once. Received lines are not counted with the authorized ones."""
-    m = F.col("message")
-    return F.when(m.rlike(P.AUTHORIZED), "connect").when(m.rlike(P.DISCONNECTED), "disconnect").when(m.rlike(P.AUTH_FAILED), "auth_failure")
+    of = lambda kind: extract.is_a(entries, kind)
+    return F.when(of("authorized"), "connect").when(of("disconnected"), "disconnect").when(of("auth_failed"), "auth_failure")
+
+
+def auth_failed(entries: DataFrame) -> Column:
+    return connection_class(entries) == "auth_failure"
 
 
 def connections_by(entries: DataFrame, dimension: str) -> DataFrame:
     """Connections by hour, user, database, host or application."""
     key = {"hour": X.hour(F.col("timestamp")), "user": F.col("user"), "database": F.col("database"), "host": F.col("remote_host"), "application": F.col("application_name")}[dimension]
-    return entries.filter(connection_class() == "connect").groupBy(key.alias(dimension)).agg(F.count(F.lit(1)).alias("connections")).filter(F.col(dimension).isNotNull())
+    return entries.filter(connection_class(entries) == "connect").groupBy(key.alias(dimension)).agg(F.count(F.lit(1)).alias("connections")).filter(F.col(dimension).isNotNull())
 
 
 def connection_summary(entries: DataFrame) -> DataFrame:
-    kind = connection_class()
+    kind = connection_class(entries)
     return entries.agg(*[F.count_if(kind == k).alias(n) for k, n in (("connect", "connections"), ("disconnect", "disconnections"), ("auth_failure", "auth_failures"))])
 
 
 def query_types(entries: DataFrame, *by: str) -> DataFrame:
     """Entries by query type and the columns given; cancellations are left out."""
-    rows = entries.filter(~F.col("message").rlike(P.CANCELLED))
+    rows = entries.filter(~extract.is_a(entries, "cancelled"))
     return rows.groupBy(*by, "query_type").agg(F.count(F.lit(1)).alias("count"))
 
 
 def query_type_rollup(entries: DataFrame) -> DataFrame:
-    rows = entries.filter(~F.col("message").rlike(P.CANCELLED))
+    rows = entries.filter(~extract.is_a(entries, "cancelled"))
     return rows.rollup("database", "query_type").agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("level"))
 
 
 def dml_over_time(entries: DataFrame) -> DataFrame:
-    rows = entries.filter(F.col("query_type").isin("insert", "update", "delete") & ~F.col("message").rlike(P.CANCELLED))
+    rows = entries.filter(F.col("query_type").isin("insert", "update", "delete") & ~extract.is_a(entries, "cancelled"))
     return rows.groupBy(X.hour(F.col("timestamp")).alias("hour"), "query_type").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -129,7 +136,7 @@ def pooler_by(entries: DataFrame, dimension: str) -> DataFrame:
 
 def checkpoint_summary(entries: DataFrame) -> DataFrame:
     done = extract.checkpoint_events(entries)
-    often = entries.agg(F.count_if(F.col("message").rlike(P.CHECKPOINT_OFTEN)).alias("warnings"))
+    often = entries.agg(F.count_if(extract.is_a(entries, "checkpoint_often")).alias("warnings"))
     return done.agg(
         F.count(F.lit(1)).alias("count"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.avg("buffers").alias("avg_buffers"),
         F.sum("wal_added").alias("wal_added"), F.sum("wal_removed").alias("wal_removed"), F.sum("wal_recycled").alias("wal_recycled"), F.avg("distance_kb").alias("avg_distance_kb"), F.avg("estimate_kb").alias("avg_estimate_kb"),
@@ -146,10 +153,10 @@ def autovacuum_frequency(entries: DataFrame) -> DataFrame:
 
 
 def hourly_timeline(entries: DataFrame, threshold_ms: float = 1000.0) -> DataFrame:
-    m = F.col("message")
+    of = lambda kind: extract.is_a(entries, kind)
     return entries.groupBy(X.hour(F.col("timestamp")).alias("hour")).agg(
-        F.count(F.lit(1)).alias("entries"), F.count_if(is_error()).alias("errors"), F.count_if(is_slow(threshold_ms)).alias("slow"), F.count_if(m.rlike(P.AUTHORIZED)).alias("connections"),
-        F.count_if(m.rlike(P.LOCK_WAIT) | m.rlike(P.DEADLOCK)).alias("locks"), F.count_if(m.rlike(P.CHECKPOINT)).alias("checkpoints"), F.count_if(m.rlike(P.AUTOVACUUM)).alias("autovacuums"),
+        F.count(F.lit(1)).alias("entries"), F.count_if(is_error()).alias("errors"), F.count_if(is_slow(threshold_ms)).alias("slow"), F.count_if(of("authorized")).alias("connections"),
+        F.count_if(of("lock_wait") | of("deadlock")).alias("locks"), F.count_if(of("checkpoint")).alias("checkpoints"), F.count_if(of("autovacuum")).alias("autovacuums"),
     )
 
 

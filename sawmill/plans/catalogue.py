@@ -25,11 +25,11 @@ SLOW = 100.0
 
 
 def on_log(sql: str | None = None, *ctes: str, scans: int = 1):
-    """Registers a query on log entries under its function's name. scans: how often it reads them; parsed entries that
-    are read several times are kept (spilling to disk)."""
+    """Registers a query on log entries under its function's name. scans: how often it reads them; entries that
+    are read several times are marked with their kinds and kept (spilling to disk) until the next such query."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(log_entries(spark, sf_dir) if scans == 1 else log_entries(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(log_entries(spark, sf_dir) if scans == 1 else _kept(log_entries(spark, sf_dir)))
         if sql:
             SQL[f.__name__] = O.over_entries(sql, *ctes)
         return f
@@ -37,6 +37,16 @@ def on_log(sql: str | None = None, *ctes: str, scans: int = 1):
     return add
 
 
+_last: list[DataFrame] = []
+
+
+def _kept(entries: DataFrame) -> DataFrame:
+    while _last:
+        _last.pop().unpersist()
+    _last.append(extract.marked(entries.drop("raw_line")).withColumn("raw_line", F.lit(None).cast("string")).persist(StorageLevel.MEMORY_AND_DISK))
+    return _last[0]
+
+
 def on_tables(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -118,11 +128,12 @@ def query_regression(e):
 
 
 @on_log(
-    """select seq, pid, text as query from (
-  select seq, pid, opens, lag(opens) over w as was, lag(query) over w as text from (
-    select seq, pid, query, duration_ms is null as opens from e where (query is not null) <> (duration_ms is not null)
+    f"""select seq, pid, text as query from (
+  select seq, pid, takes, lag(opens) over w as was, lag(query) over w as text from (
+    select seq, pid, query, query is not null and duration_ms is null as opens, query is null and duration_ms is not null as takes from e
+    where (query is not null) <> (duration_ms is not null) or {has(P.CONNECTED)}
   ) window w as (partition by pid order by seq)
-) where not opens and was"""
+) where takes and was"""
 )
 def pid_statement_correlation(e):
     before = e.filter("query is null and duration_ms is not null").select("seq")
@@ -551,30 +562,52 @@ _ROW = f"""row as (select
   (select max(n) / sum(n)::double from (select count(*) as n from e where {_CONNECTS} group by host)) as host_share,
   (select sum(ms) from sessions) as session_ms, (select sum(duration_ms) from e where pid in (select pid from sessions)) as busy_ms
 )"""
-_FINDINGS = """findings as (
-  select 'HIGH_CHECKPOINT_FREQUENCY' as rule_id, 'HIGH' as severity from row where often >= 3
-  union all select 'SLOW_CHECKPOINTS', 'MEDIUM' from row where checkpoint_ms > 60000
-  union all select 'CONNECTION_EXHAUSTION', case when peak >= 150 then 'CRITICAL' else 'HIGH' end from row where peak >= 80
-  union all select 'LOCK_STORMS', case when lock_waits >= 50 then 'CRITICAL' else 'HIGH' end from row where lock_waits >= 10
-  union all select 'DEADLOCK_PATTERN', 'HIGH' from row where deadlocks >= 2
-  union all select 'TEMP_FILE_ABUSE', case when largest_mb >= 1024 then 'HIGH' else 'MEDIUM' end from row where largest_mb >= 100
-  union all select 'AUTOVACUUM_LAGGING', case when most_vacuums >= 20 then 'HIGH' else 'MEDIUM' end from row where most_vacuums >= 10
-  union all select 'AUTH_FAILURES_SPIKE', case when auth >= 50 then 'CRITICAL' else 'HIGH' end from row where auth >= 5
-  union all select 'REPLICATION_LAG', case when lag_bytes >= 104857600 then 'CRITICAL' else 'HIGH' end from row where lag_bytes > 0
-  union all select 'OOM_KILLER', 'CRITICAL' from row where oom > 0
-  union all select distinct 'SLOW_QUERY_REGRESSION', 'HIGH' from (select *, row_number() over (partition by fingerprint order by seq) - 1 as nth from slow) group by fingerprint having count(*) >= 5 and regr_slope(duration_ms, nth) > 0.01 * avg(duration_ms)
-  union all select 'ERROR_STORM', 'CRITICAL' from row where storm >= 50
-  union all select 'SSL_FATAL_ERRORS', 'HIGH' from row where ssl > 0
-  union all select 'DISK_FULL', 'CRITICAL' from row where disk >= 3
-  union all select 'LONG_RUNNING_TRANSACTIONS', case when longest >= 3600000 then 'CRITICAL' else 'HIGH' end from row where longest >= 300000
-  union all select 'HIGH_SESSION_IDLE_TIME', 'MEDIUM' from row where (session_ms - busy_ms) / session_ms > 0.7
-  union all select 'QUERY_TYPE_IMBALANCE', 'HIGH' from row where dml_ratio > 0.4 and lock_waits + deadlocks >= 5
-  union all select 'PREPARE_PHASE_BOTTLENECK', 'MEDIUM' from row where parse_ratio > 0.2
-  union all select 'AUTOVACUUM_WAL_AMPLIFICATION', 'HIGH' from row where wal > 104857600
-  union all select 'CONNECTION_STORM_BY_HOST', 'HIGH' from row where host_share > 0.6
-  union all select 'CANCELLED_QUERY_STORM', 'HIGH' from row where cancelled > 20
-)"""
-_RULE_CTES = (_SLOW, _LOCKS, _OPEN, _DONE, _VACUUMS, _SESSIONS, _ROW, _FINDINGS)
+
+
+def _found(t: rules.Thresholds, platform: str = "") -> str:
+    """The 23 rules as the survey lists them, with their thresholds."""
+    mb = 1024 * 1024
+    grown = "select *, row_number() over (partition by fingerprint order by seq) - 1 as nth from slow"
+    some = [
+        ("HIGH_CHECKPOINT_FREQUENCY", "'HIGH'", f"often >= {t.checkpoint_often}"),
+        ("SLOW_CHECKPOINTS", "'MEDIUM'", f"checkpoint_ms > {t.checkpoint_slow_ms}"),
+        ("CONNECTION_EXHAUSTION", f"case when peak >= {t.connection_critical} then 'CRITICAL' else 'HIGH' end", f"peak >= {t.connection_warn}"),
+        ("LOCK_STORMS", f"case when lock_waits >= {t.lock_critical} then 'CRITICAL' else 'HIGH' end", f"lock_waits >= {t.lock_warn}"),
+        ("DEADLOCK_PATTERN", "'HIGH'", f"deadlocks >= {t.deadlock_warn}"),
+        ("TEMP_FILE_ABUSE", f"case when largest_mb >= {t.temporary_high_mb} then 'HIGH' else 'MEDIUM' end", f"largest_mb >= {t.temporary_mb}"),
+        ("AUTOVACUUM_LAGGING", f"case when most_vacuums >= {t.autovacuum_high} then 'HIGH' else 'MEDIUM' end", f"most_vacuums >= {t.autovacuum_warn}"),
+        ("AUTH_FAILURES_SPIKE", f"case when auth >= {t.auth_critical} then 'CRITICAL' else 'HIGH' end", f"auth >= {t.auth_warn}"),
+        ("REPLICATION_LAG", f"case when lag_bytes >= {t.lag_critical_mb * mb} then 'CRITICAL' else 'HIGH' end", "lag_bytes > 0"),
+        ("OOM_KILLER", "'CRITICAL'", "oom > 0"),
+        ("SLOW_QUERY_REGRESSION", "'HIGH'", f"exists (select 1 from ({grown}) group by fingerprint having count(*) >= 5 and regr_slope(duration_ms, nth) > 0.01 * avg(duration_ms))"),
+        ("ERROR_STORM", "'CRITICAL'", f"storm >= {t.storm}"),
+        ("SSL_FATAL_ERRORS", "'HIGH'", "ssl > 0"),
+        ("DISK_FULL", "'CRITICAL'", f"disk >= {t.disk_events}"),
+        ("LONG_RUNNING_TRANSACTIONS", f"case when longest >= {t.long_critical_ms} then 'CRITICAL' else 'HIGH' end", f"longest >= {t.long_warn_ms}"),
+        ("HIGH_SESSION_IDLE_TIME", "'MEDIUM'", f"(session_ms - busy_ms) / session_ms > {t.idle_ratio}"),
+        ("QUERY_TYPE_IMBALANCE", "'HIGH'", f"dml_ratio > {t.dml_ratio} and lock_waits + deadlocks >= {t.dml_locks}"),
+        ("PREPARE_PHASE_BOTTLENECK", "'MEDIUM'", f"parse_ratio > {t.parse_ratio}"),
+        ("AUTOVACUUM_WAL_AMPLIFICATION", "'HIGH'", f"wal > {t.wal_bytes}"),
+        ("CONNECTION_STORM_BY_HOST", "'HIGH'", f"host_share > {t.host_share}"),
+        ("MANAGED_PLATFORM_DETECTED", "'INFO'", f"'{platform}' in ('rds', 'redshift')"),
+        ("PGBOUNCER_POOL_EXHAUSTION", "'CRITICAL'", f"(select count(distinct error) from pooler) > {t.pool_errors}"),
+        ("CANCELLED_QUERY_STORM", "'HIGH'", f"cancelled > {t.cancelled}"),
+    ]
+    return "findings as (\n  " + "\n  union all ".join(f"select '{id}' as rule_id, {severity} as severity from row where {when}" for id, severity, when in some) + "\n)"
+
+
+_BEFORE_RULES = (_SLOW, _LOCKS, _OPEN, _DONE, _VACUUMS, _SESSIONS, _POOLER, _ROW)
+_RULE_CTES = (*_BEFORE_RULES, _found(_T))
+#: Thresholds by which every rule and detector finds something in the events.
+_LOW = rules.Thresholds(
+    slow_ms=SLOW, checkpoint_slow_ms=1000.0, storm=1, long_warn_ms=100.0, dml_ratio=0.05, parse_ratio=0.01, wal_bytes=1_000_000, host_share=0.05, pool_errors=1, checkpoint_spike_high_ms=100_000.0, vacuum_long_ms=1000.0,
+    vacuum_high_ms=100_000.0, wave_gap="5 hours", wave_high=5, lag_event_s=5.0, spike_ms=120.0, spike_high_ms=190.0, idle_ratio=0.1, connection_warn=5, temporary_mb=10.0, burst_medium=2, burst_high=3, burst_critical=4, auth_spike=2, cancelled_wave=2,
+)
+
+
+@on_log("select * from findings", *_BEFORE_RULES, _found(_LOW, "rds"), scans=12)
+def rca_every_rule(e):
+    return rules.run(e, _LOW, platform="rds").select("rule_id", "severity")
 
 
 @on_log("select * from findings", *_RULE_CTES, scans=12)
@@ -593,32 +626,53 @@ def custom_rules(e):
     return rules.run(e, _T, pack).filter(F.col("rule_id").isin("MANY_DEADLOCKS", "NEVER", "OFF")).select("rule_id", "severity")
 
 
-@on_log(scans=12)
+_ADVICE = ", ".join(f"({O.quoted(r.id)}, {O.quoted(a)})" for r in rules.RULES for a in r.advice)
+
+
+@on_log(f"select distinct advice from findings join (values {_ADVICE}) a(rule, advice) on rule = rule_id", *_RULE_CTES, scans=12)
 def distinct_recommendations(e):
     return rules.recommendations(rules.run(e, _T))
 
 
-_EVENTS = f"""events_found as (
-  select 'error_burst' as event_type, case when n >= 50 then 'critical' when n >= 20 then 'high' else 'medium' end as severity, moment from (select date_trunc('minute', first) as moment, sum(n) as n from (select pattern, min(ts) as first, count(*) as n from errors group by 1) group by 1) where n >= 10
+def _happened(t: rules.Thresholds) -> str:
+    """The detectors as the survey lists them, but that a burst counts the errors of its own minute."""
+    number, unit = t.wave_gap.split()
+    fatal = "log_level in ('FATAL', 'PANIC')"
+    amount = f"select ts, {part(P.REPLICATION_LAG, 1)}::double as n, lower(coalesce({part(P.REPLICATION_LAG, 2)}, 'bytes')) as unit from e where {has(P.REPLICATION_LAG)}"
+    waves = f"select *, sum(case when ts - was <= interval {number} {unit} then 0 else 1 end) over (order by ts, seq) as wave from (select *, lag(ts) over (order by ts, seq) as was from locks where not is_deadlock)"
+    top = f"select max(duration_ms) as most, min(ts) as first from e_slow group by fingerprint order by sum(duration_ms) desc, fingerprint limit {t.spike_patterns}"
+    top = top.replace("e_slow", f"(select *, {O.fingerprint('statement')} as fingerprint from e where duration_ms >= {t.slow_ms})")
+    return f"""events_found as (
+  select 'error_burst' as event_type, case when n >= {t.burst_critical} then 'critical' when n >= {t.burst_high} then 'high' else 'medium' end as severity, moment from (select date_trunc('minute', ts) as moment, count(*) as n from errors group by 1) where n >= {t.burst_medium}
   union all select 'deadlock', 'high', ts from locks where is_deadlock
-  union all select 'lock_wave', case when count(*) >= 10 then 'high' else 'medium' end, min(ts) from (select *, sum(case when ts - was <= interval 5 minutes then 0 else 1 end) over (order by seq) as wave from (select *, lag(ts) over (order by ts, seq) as was from locks where not is_deadlock)) group by wave having count(*) >= 3
-  union all select 'checkpoint_spike', case when duration_ms > 300000 then 'high' else 'medium' end, ts from done where duration_ms >= 60000
-  union all select 'autovacuum', case when elapsed_s >= 300 then 'medium' else 'low' end, ts from vacuums join e using (seq) where elapsed_s * 1000 >= 60000
-  union all select 'connection_storm', case when max(open) >= 150 then 'critical' else 'high' end, arg_max(ts, open - seq / 1e9) from open where kind = 1 having max(open) >= 80
-  union all select 'auth_failure_spike', case when count(*) filter (where {has(P.AUTH_FAILED)}) >= 100 then 'critical' else 'high' end, min(ts) from e having count(*) filter (where {has(P.AUTH_FAILED)}) >= 20
-  union all select case when {has(P.OUT_OF_MEMORY)} then 'oom' when {has(P.DISK_FULL)} then 'disk_full' when log_level = 'PANIC' then 'panic' else 'fatal' end, case when log_level = 'PANIC' then 'critical' else 'high' end, ts from e where log_level in ('FATAL', 'PANIC')
-  union all select 'cancellation_wave', case when count(*) >= 20 then 'high' else 'medium' end, min(ts) from e where {has(P.CANCELLED)} having count(*) >= 5
-  union all select 'replication_lag', case when bytes > 104857600 then 'critical' else 'high' end, ts from (select ts, case when unit not like 's%' then n * case unit when 'mb' then 1048576 when 'gb' then 1073741824 else 1 end end as bytes, case when unit like 's%' then n end as secs
-    from (select ts, {part(P.REPLICATION_LAG, 1)}::double as n, lower(coalesce({part(P.REPLICATION_LAG, 2)}, 'bytes')) as unit from e where {has(P.REPLICATION_LAG)})) where bytes >= 1048576 or secs >= 10
+  union all select 'lock_wave', case when count(*) >= {t.wave_high} then 'high' else 'medium' end, min(ts) from ({waves}) group by wave having count(*) >= {t.wave_least}
+  union all select 'checkpoint_spike', case when duration_ms > {t.checkpoint_spike_high_ms} then 'high' else 'medium' end, ts from done where duration_ms >= {t.checkpoint_slow_ms}
+  union all select 'autovacuum', case when elapsed_s * 1000 >= {t.vacuum_high_ms} then 'high' else 'medium' end, ts from vacuums join e using (seq) where elapsed_s * 1000 >= {t.vacuum_long_ms}
+  union all select 'connection_storm', case when max(open) >= {t.connection_critical} then 'critical' else 'high' end, arg_max(ts, open - seq / 1e9) from open where kind = 1 having max(open) >= {t.connection_warn}
+  union all select 'auth_failure_spike', case when count(*) filter (where {has(P.AUTH_FAILED)}) >= {t.auth_spike_critical} then 'critical' else 'high' end, min(ts) from e having count(*) filter (where {has(P.AUTH_FAILED)}) >= {t.auth_spike}
+  union all select case when {has(P.OUT_OF_MEMORY)} then 'oom' when {has(P.DISK_FULL)} then 'disk_full' when log_level = 'PANIC' then 'panic' else 'fatal' end, case when log_level = 'PANIC' then 'critical' else 'high' end, ts from e where {fatal}
+  union all select 'cancellation_wave', case when count(*) >= {t.cancelled_wave_high} then 'high' else 'medium' end, min(ts) from e where {has(P.CANCELLED)} having count(*) >= {t.cancelled_wave}
+  union all select 'replication_lag', case when bytes > {t.lag_critical_mb * 1024 * 1024} then 'critical' else 'high' end, ts from (
+    select ts, case when unit not like 's%' then n * case unit when 'mb' then 1048576 when 'gb' then 1073741824 else 1 end end as bytes, case when unit like 's%' then n end as secs from ({amount})
+  ) where bytes >= {t.lag_event_mb * 1024 * 1024} or secs >= {t.lag_event_s}
+  union all select 'slow_query_spike', case when most >= {t.spike_high_ms} then 'high' else 'medium' end, first from ({top}) where most >= {t.spike_ms}
 )"""
 
 
-@on_log(f"select event_type, severity, {STAMP('moment')} as timestamp from events_found", _ERRORS, _LOCKS, _DONE, _VACUUMS, _OPEN, _EVENTS, scans=11)
+_BEFORE_EVENTS = (_ERRORS, _LOCKS, _DONE, _VACUUMS, _OPEN)
+
+
+@on_log(f"select event_type, severity, {STAMP('moment')} as timestamp from events_found", *_BEFORE_EVENTS, _happened(rules.Thresholds()), scans=11)
 def timeline_events(e):
     return timeline.build(e).select("event_type", "severity", X.stamp(F.col("timestamp")).alias("timestamp"))
 
 
-@on_log("select event_type, severity, count(*) as events from events_found where moment between timestamp '2024-01-10' and timestamp '2024-01-20' group by 1, 2", _ERRORS, _LOCKS, _DONE, _VACUUMS, _OPEN, _EVENTS, scans=11)
+@on_log(f"select event_type, severity, {STAMP('moment')} as timestamp from events_found", *_BEFORE_EVENTS, _happened(_LOW), scans=11)
+def timeline_every_detector(e):
+    return timeline.build(e, _LOW).select("event_type", "severity", X.stamp(F.col("timestamp")).alias("timestamp"))
+
+
+@on_log("select event_type, severity, count(*) as events from events_found where moment between timestamp '2024-01-10' and timestamp '2024-01-20' group by 1, 2", *_BEFORE_EVENTS, _happened(rules.Thresholds()), scans=11)
 def timeline_in_window(e):
     return timeline.counts(timeline.within(timeline.build(e), "2024-01-10", "2024-01-20"))
 

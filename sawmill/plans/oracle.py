@@ -37,7 +37,8 @@ def fingerprint(text: str) -> str:
     q = f"trim({replace(replace(f'trim({text})', r'[;\s]+$', ''), r'\s+', ' ')})"
     for pattern, by in ((P.STRING_LITERAL, "?"), (r"\$\d+", "?"), (P.NUMBER, "?"), (r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "(?)")):
         q = replace(q, pattern, by)
-    return f"substr({keywords(q)}, 1, 500)"
+    q = keywords(q)
+    return f"(select case when length(q) > 500 then substr(q, 1, 483) || '#' || substr(md5(q), 1, 16) else q end from (select {q} as q))"
 
 
 def pattern_key(message: str) -> str:

@@ -49,6 +49,24 @@ class Thresholds:
     host_share: float = 0.60
     pool_errors: int = 10
     disk_events: int = 3
+    burst_medium: int = 10
+    burst_high: int = 20
+    burst_critical: int = 50
+    wave_gap: str = "5 minutes"
+    wave_least: int = 3
+    wave_high: int = 10
+    checkpoint_spike_high_ms: float = 300_000.0
+    vacuum_long_ms: float = 60_000.0
+    vacuum_high_ms: float = 300_000.0
+    auth_spike: int = 20
+    auth_spike_critical: int = 100
+    cancelled_wave: int = 5
+    cancelled_wave_high: int = 20
+    lag_event_mb: float = 1.0
+    lag_event_s: float = 10.0
+    spike_patterns: int = 10
+    spike_ms: float = 30_000.0
+    spike_high_ms: float = 60_000.0
 
     @classmethod
     def of(cls, given: dict | None) -> Thresholds:
@@ -63,23 +81,24 @@ def metrics_row(entries: DataFrame, t: Thresholds | None = None, platform: str |
     m = F.col("message")
     n = F.count(F.lit(1))
     statement = F.coalesce("query", "message")
-    typed = ~m.rlike(P.CANCELLED)
+    of = lambda kind: extract.is_a(entries, kind)
+    typed = ~of("cancelled")
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
-    waits, dead = m.rlike(P.LOCK_WAIT), m.rlike(P.DEADLOCK)
-    file_mb = F.bround(X.whole(m, P.TEMPORARY_FILE, 2) / (1024 * 1024), 2)
+    waits, dead = of("lock_wait"), of("deadlock")
+    file_mb = F.when(of("temporary_file"), F.bround(X.whole(m, P.TEMPORARY_FILE, 2) / (1024 * 1024), 2))
     lag_unit = F.lower(F.coalesce(X.found(m, P.REPLICATION_LAG, 2), F.lit("bytes")))
-    lag = F.when(~lag_unit.startswith("s"), X.number(m, P.REPLICATION_LAG, 1) * F.when(lag_unit == "mb", 1024.0**2).when(lag_unit == "gb", 1024.0**3).otherwise(1.0))
+    lag = F.when(of("replication_lag") & ~lag_unit.startswith("s"), X.number(m, P.REPLICATION_LAG, 1) * F.when(lag_unit == "mb", 1024.0**2).when(lag_unit == "gb", 1024.0**3).otherwise(1.0))
     pooled = F.coalesce(F.col("raw_line"), F.lit("")).rlike(P.POOLER) | m.rlike(P.POOLER)
     # All that needs no grouping is one pass.
     base = entries.agg(
-        n.alias("entries"), F.count_if(is_error()).alias("errors"), F.count_if(is_fatal()).alias("fatals"), F.count_if(m.rlike(P.AUTHORIZED)).alias("connections"),
-        F.count_if(m.rlike(P.AUTH_FAILED) & ~m.rlike(P.AUTHORIZED) & ~m.rlike(P.DISCONNECTED)).alias("auth_failures"), F.count_if(m.rlike(P.CHECKPOINT_OFTEN)).alias("checkpoint_warnings"),
-        F.count_if(is_fatal() & m.rlike(P.OUT_OF_MEMORY)).alias("out_of_memory"), F.count_if(is_fatal() & m.rlike(P.SSL)).alias("ssl_fatals"),
-        F.count_if(is_error() & m.rlike(P.DISK_FULL)).alias("disk_full"), F.count_if(m.rlike(P.CANCELLED)).alias("cancelled"),
+        n.alias("entries"), F.count_if(is_error()).alias("errors"), F.count_if(is_fatal()).alias("fatals"), F.count_if(of("authorized")).alias("connections"),
+        F.count_if(of("auth_failed") & ~of("authorized") & ~of("disconnected")).alias("auth_failures"), F.count_if(of("checkpoint_often")).alias("checkpoint_warnings"),
+        F.count_if(is_fatal() & of("out_of_memory")).alias("out_of_memory"), F.count_if(is_fatal() & of("ssl")).alias("ssl_fatals"),
+        F.count_if(is_error() & of("disk_full")).alias("disk_full"), F.count_if(of("cancelled")).alias("cancelled"),
         F.coalesce(F.max("duration_ms"), F.lit(0.0)).alias("longest_ms"), F.count_if(is_slow(t.slow_ms)).alias("slow"),
         F.count_if(typed & F.col("query_type").isin("delete", "update")).alias("changes"), F.count_if(typed & F.col("query_type").isin("select", "insert", "update", "delete", "copy", "ddl", "other") & statement.isNotNull()).alias("typed"),
         F.coalesce(F.sum(F.when(F.col("phase") == "parse", F.col("duration_ms"))), F.lit(0.0)).alias("parse_ms"), F.coalesce(F.sum(F.when(F.col("phase") == "execute", F.col("duration_ms"))), F.lit(0.0)).alias("execute_ms"),
-        F.count_if(waits & ~dead).alias("lock_waits"), F.count_if(dead).alias("deadlocks"), F.count_if(m.rlike(P.CHECKPOINT_DONE)).alias("checkpoints"), zero(F.avg(X.number(m, P.CHECKPOINT_DONE, 8) * 1000), "double").alias("checkpoint_avg_ms"),
+        F.count_if(waits & ~dead).alias("lock_waits"), F.count_if(dead).alias("deadlocks"), F.count_if(of("checkpoint_done")).alias("checkpoints"), zero(F.avg(F.when(of("checkpoint_done"), X.number(m, P.CHECKPOINT_DONE, 8) * 1000)), "double").alias("checkpoint_avg_ms"),
         F.count_if(file_mb >= t.temporary_mb).alias("large_files"), zero(F.max(file_mb), "double").alias("largest_mb"), zero(F.max(lag.cast("long")), "long").alias("most_lag_bytes"),
         F.countDistinct(F.when(pooled, X.found(m, P.POOLER_ERROR))).alias("pool_errors"),
     )

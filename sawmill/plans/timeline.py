@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions import patterns as P
 from sawmill.operators import aggregate, extract, ordered
-from sawmill.operators.filters import is_fatal
-from sawmill.plans.rules import rank
+from sawmill.operators.filters import is_error, is_fatal
+from sawmill.plans.rules import Thresholds, rank
 
 
 def _event(rows: DataFrame, kind: str | Column, severity: Column | str, at: str, value: Column | str, until: str | None = None) -> DataFrame:
@@ -27,39 +26,40 @@ def steps(c: str, *bounds: tuple[float, str], otherwise: str | None = None) -> C
     return out
 
 
-def detectors(entries: DataFrame) -> dict[str, DataFrame]:
-    """Events by detector."""
-    patterns = aggregate.error_patterns(entries, None)
-    bursts = patterns.groupBy(F.date_trunc("minute", "first_seen").alias("minute")).agg(F.sum("count").alias("errors")).filter("errors >= 10")
+def detectors(entries: DataFrame, t: Thresholds | None = None) -> dict[str, DataFrame]:
+    """Events by detector. A burst counts the errors of its own minute, so one late in the log is seen too (not all
+    errors of the patterns that were first seen in that minute)."""
+    t = t or Thresholds()
+    mb = 1024 * 1024
+    bursts = entries.filter(is_error()).groupBy(F.date_trunc("minute", "timestamp").alias("minute")).agg(F.count(F.lit(1)).alias("errors")).filter(F.col("errors") >= t.burst_medium)
     locks = extract.lock_events(entries)
-    done = extract.checkpoint_events(entries).filter("duration_ms >= 60000")
-    vacuums = extract.autovacuum_runs(entries).filter("duration_ms >= 60000")
-    first = entries.agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"))
-    peak = ordered.concurrency(entries).agg(F.max("open").alias("peak"), F.max_by("timestamp", F.struct("open", -F.col("seq"))).alias("at")).filter("peak >= 80")
-    failures = aggregate.connection_summary(entries).filter("auth_failures >= 20").crossJoin(first)  # one row each
+    done = extract.checkpoint_events(entries).filter(F.col("duration_ms") >= t.checkpoint_slow_ms)
+    vacuums = extract.autovacuum_runs(entries).filter(F.col("duration_ms") >= t.vacuum_long_ms)
+    peak = ordered.concurrency(entries).agg(F.max("open").alias("peak"), F.max_by("timestamp", F.struct("open", -F.col("seq"))).alias("at")).filter(F.col("peak") >= t.connection_warn)
+    # Failures and the log's span come from one pass.
+    failures = entries.agg(F.count_if(aggregate.auth_failed(entries)).alias("auth_failures"), F.min("timestamp").alias("from"), F.max("timestamp").alias("to")).filter(F.col("auth_failures") >= t.auth_spike)
     fatal = entries.filter(is_fatal())
-    message = F.col("message")
-    kind = F.when(message.rlike(P.OUT_OF_MEMORY), "oom").when(message.rlike(P.DISK_FULL), "disk_full").when(F.col("log_level") == "PANIC", "panic").otherwise("fatal")
-    cancelled = extract.cancelled_queries(entries).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("from"), F.max("timestamp").alias("to")).filter("n >= 5")
-    lag = extract.replication_lag(entries).filter((F.col("lag_bytes") >= 1024 * 1024) | (F.col("lag_seconds") >= 10))
-    spikes = aggregate.slow_queries(entries, 1000.0, 10).filter("max_ms >= 30000")
+    kind = F.when(extract.is_a(entries, "out_of_memory"), "oom").when(extract.is_a(entries, "disk_full"), "disk_full").when(F.col("log_level") == "PANIC", "panic").otherwise("fatal")
+    cancelled = extract.cancelled_queries(entries).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("from"), F.max("timestamp").alias("to")).filter(F.col("n") >= t.cancelled_wave)
+    lag = extract.replication_lag(entries).filter((F.col("lag_bytes") >= t.lag_event_mb * mb) | (F.col("lag_seconds") >= t.lag_event_s))
+    spikes = aggregate.slow_queries(entries, t.slow_ms, t.spike_patterns).filter(F.col("max_ms") >= t.spike_ms)
     return {
-        "error_burst": _event(bursts, "error_burst", steps("errors", (50, "critical"), (20, "high"), otherwise="medium"), "minute", "errors"),
+        "error_burst": _event(bursts, "error_burst", steps("errors", (t.burst_critical, "critical"), (t.burst_high, "high"), otherwise="medium"), "minute", "errors"),
         "deadlock": _event(locks.filter("is_deadlock"), "deadlock", "high", "timestamp", F.lit(1)),
-        "lock_wave": _event(ordered.islands(locks.filter(~F.col("is_deadlock")), "5 minutes", 3), "lock_wave", steps("members", (10, "high"), otherwise="medium"), "from", "members", "to"),
-        "checkpoint_spike": _event(done, "checkpoint_spike", F.when(F.col("duration_ms") > 300_000, "high").otherwise("medium"), "timestamp", "duration_ms"),
-        "autovacuum": _event(vacuums, "autovacuum", steps("duration_ms", (300_000, "medium"), otherwise="low"), "timestamp", "duration_ms"),
-        "connection_storm": _event(peak, "connection_storm", steps("peak", (150, "critical"), otherwise="high"), "at", "peak"),
-        "auth_failure_spike": _event(failures, "auth_failure_spike", steps("auth_failures", (100, "critical"), otherwise="high"), "from", "auth_failures", "to"),
+        "lock_wave": _event(ordered.islands(locks.filter(~F.col("is_deadlock")), t.wave_gap, t.wave_least), "lock_wave", steps("members", (t.wave_high, "high"), otherwise="medium"), "from", "members", "to"),
+        "checkpoint_spike": _event(done, "checkpoint_spike", F.when(F.col("duration_ms") > t.checkpoint_spike_high_ms, "high").otherwise("medium"), "timestamp", "duration_ms"),
+        "autovacuum": _event(vacuums, "autovacuum", steps("duration_ms", (t.vacuum_high_ms, "high"), otherwise="medium"), "timestamp", "duration_ms"),
+        "connection_storm": _event(peak, "connection_storm", steps("peak", (t.connection_critical, "critical"), otherwise="high"), "at", "peak"),
+        "auth_failure_spike": _event(failures, "auth_failure_spike", steps("auth_failures", (t.auth_spike_critical, "critical"), otherwise="high"), "from", "auth_failures", "to"),
         "fatal": _event(fatal, kind, F.when(F.col("log_level") == "PANIC", "critical").otherwise("high"), "timestamp", F.lit(1)),
-        "cancellation_wave": _event(cancelled, "cancellation_wave", steps("n", (20, "high"), otherwise="medium"), "from", "n", "to"),
-        "replication_lag": _event(lag, "replication_lag", F.when(F.col("lag_bytes") > 100 * 1024 * 1024, "critical").otherwise("high"), "timestamp", F.coalesce("lag_bytes", "lag_seconds")),
-        "slow_query_spike": _event(spikes, "slow_query_spike", steps("max_ms", (60_000, "high"), otherwise="medium"), "first_seen", "max_ms", "last_seen"),
+        "cancellation_wave": _event(cancelled, "cancellation_wave", steps("n", (t.cancelled_wave_high, "high"), otherwise="medium"), "from", "n", "to"),
+        "replication_lag": _event(lag, "replication_lag", F.when(F.col("lag_bytes") > t.lag_critical_mb * mb, "critical").otherwise("high"), "timestamp", F.coalesce("lag_bytes", "lag_seconds")),
+        "slow_query_spike": _event(spikes, "slow_query_spike", steps("max_ms", (t.spike_high_ms, "high"), otherwise="medium"), "first_seen", "max_ms", "last_seen"),
     }
 
 
-def build(entries: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, detectors(entries).values()).orderBy("timestamp", "event_type", "value")
+def build(entries: DataFrame, t: Thresholds | None = None) -> DataFrame:
+    return reduce(DataFrame.unionByName, detectors(entries, t).values()).orderBy("timestamp", "event_type", "value")
 
 
 def within(events: DataFrame, start, end) -> DataFrame:

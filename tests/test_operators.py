@@ -85,8 +85,53 @@ def test_extractors(spark):
     assert extract.temporary_files(e).first()["size_mb"] == 10.0
     assert [(r["lag_bytes"], r["lag_seconds"]) for r in extract.replication_lag(e).orderBy("seq").collect()] == [(2097152, None), (None, 12.0)]
     assert extract.cancelled_queries(e).first()["reason"] == "user request" and extract.checkpoint_causes(e).first()["type"] == "immediate"
-    kinds = [r["k"] for r in e.select("seq", extract.event_class(F.col("message")).alias("k")).orderBy("seq").collect()]
-    assert kinds == ["lock_wait", "deadlock", "checkpoint", "autovacuum", "temporary_file", "replication", "replication", "cancellation", "checkpoint"]
+    marked = extract.marked(e).orderBy("seq").collect()
+    names = list(extract.KINDS)
+    kinds = [{n for i, n in enumerate(names) if r["marks"] >> i & 1} for r in marked]
+    assert kinds == [{"lock_wait"}, {"deadlock"}, {"checkpoint", "checkpoint_done"}, {"autovacuum", "autovacuum_table"}, {"temporary_file"}, {"replication_lag"}, {"replication_lag"}, {"cancelled"}, {"checkpoint", "checkpoint_cause"}]
+    assert extract.lock_events(extract.marked(e)).count() == 2
+
+
+def test_vacuum_counters_of_the_servers_text(spark):
+    text = """automatic vacuum of table "shop.public.orders": index scans: 1
+\tpages: 12 removed, 340 remain, 5 skipped due to pins, 60 skipped frozen
+\ttuples: 700 removed, 8000 remain, 91 are dead but not yet removable, oldest xmin: 1234
+\tbuffer usage: 1500 hits, 26 misses, 37 dirtied
+\tWAL usage: 48 records, 5 full page images, 61234 bytes
+\tsystem usage: CPU: user: 0.12 s, system: 0.03 s, elapsed: 61.70 s"""
+    v = extract.autovacuum_runs(entries(spark, [(0, 1, "LOG", text)])).first().asDict()
+    want = {"index_scans": 1, "pages_removed": 12, "skipped_pins": 5, "skipped_frozen": 60, "tuples_removed": 700, "dead_tuples": 91, "buffer_hits": 1500, "buffer_misses": 26, "buffers_dirtied": 37}
+    want |= {"wal_records": 48, "wal_fpi": 5, "wal_bytes": 61234, "cpu_user_s": 0.12, "cpu_sys_s": 0.03, "duration_ms": 61700.0}
+    assert {k: v[k] for k in want} == want
+
+
+def test_processes_of_two_files_are_apart(spark):
+    rows = [(0, 1, "LOG", "statement: SELECT 1", "a"), (1, 1, "LOG", "duration: 5 ms", "b"), (2, 1, "LOG", "duration: 6 ms", "a"), (3, 2, "LOG", "statement: SELECT 2", "a"), (4, 2, "LOG", "connection authorized: user=x", "a"), (5, 2, "LOG", "duration: 7 ms", "a")]
+    e = enrich(spark.createDataFrame(rows, "seq long, pid int, log_level string, message string, source_file string"))
+    got = {r["seq"]: r["query"] for r in ordered.correlate_statements(e).collect()}
+    assert got[2] == "SELECT 1" and got[1] is None and got[5] is None
+
+
+def test_islands_over_edges_of_buckets(spark):
+    import random
+
+    rng = random.Random(3)
+    at, times = 0.0, []
+    for _ in range(400):
+        at += rng.choice([1, 30, 60, 61, 200, 4000])
+        times.append(at)
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "seq long, s double").select("seq", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("timestamp"))
+    want, run = [], [times[0]]
+    for t in times[1:]:
+        if t - run[-1] <= 60:
+            run.append(t)
+        else:
+            want.append(run)
+            run = [t]
+    want = sorted((len(r), r[0], r[-1]) for r in [*want, run] if len(r) >= 3)
+    for bucket in (60, 300, 3600, 10**7):
+        got = ordered.islands(d, "1 minute", 3, bucket_s=bucket).select("members", F.unix_micros("from").alias("a"), F.unix_micros("to").alias("b")).collect()
+        assert sorted((r["members"], r["a"] / 1e6, r["b"] / 1e6) for r in got) == want
 
 
 def test_regression(spark):
