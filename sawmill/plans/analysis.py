@@ -21,7 +21,7 @@ class Analysis:
     def __init__(self, entries: DataFrame, thresholds: rules.Thresholds | None = None, pack: rules.RulePack | None = None, platform: str | None = None, top: int = 25, keep: bool = True):
         self.thresholds, self.pack, self.platform, self.top = thresholds or rules.Thresholds(), pack, platform, top
         rows = ordered.correlate_statements(without_ignored(entries, pack.ignored_errors, pack.ignored_queries) if pack else entries)
-        self.entries = rows.persist(StorageLevel.MEMORY_AND_DISK) if keep else rows
+        self.entries = extract.marked(rows).persist(StorageLevel.MEMORY_AND_DISK) if keep else rows
 
     def close(self) -> None:
         self.entries.unpersist()
@@ -58,7 +58,7 @@ class Analysis:
             "pooler": aggregate.pooler_summary(e),
             "plans": ordered.plan_blocks(e).orderBy(F.desc("duration_ms"), "seq"),
             "fatal": e.filter(is_fatal()).select("seq", "timestamp", "log_level", "message").orderBy("seq").limit(50),
-            "timeline": timeline.build(e),
+            "timeline": timeline.build(e, t),
         }
 
     def report(self, kind: str = "text", only: list[str] | None = None) -> str:

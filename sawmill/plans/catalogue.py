@@ -15,7 +15,7 @@ from sawmill.functions import patterns as P
 from sawmill.functions import text as X
 from sawmill.operators import aggregate, compare, extract, filters, ordered, snapshot
 from sawmill.plans import oracle as O
-from sawmill.plans import rules, timeline
+from sawmill.plans import roundtrip, rules, timeline
 from sawmill.sources.events import log_entries
 
 QUERIES: dict = {}
@@ -689,8 +689,8 @@ def summary_health(e):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | roundtrip.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | roundtrip.oracle_sql()

@@ -7,6 +7,7 @@ splits meet by their entry number."""
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from sawmill.functions import patterns as P
 from sawmill.functions import text as X
 from sawmill.operators.enrich import enrich
-from sawmill.sources.prefix import Prefix
+from sawmill.sources.prefix import Prefix, detect
 
 # How lines of each format begin, tried in this order.
 _TIME = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
@@ -32,7 +33,7 @@ FORMATS = (
     ("pgbouncer", rf"^{_TIME}\.\d+\s+UTC\s+\[\d+\]\s+(?:LOG|WARNING|ERROR|NOTICE|FATAL)(?!:)\s"),
     ("stderr", rf"^{_TIME}(?:\.\d+)?\s*(?:UTC|[A-Z]{{2,5}}[+-]?\d{{0,2}})?\s+\[\d+"),
     ("logplex", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+\-]\d{2}:\d{2}\s+app\[postgres"),
-    ("redshift", rf"^'?{_TIME}\.\d+\s+\[\d+\]\s+"),
+    ("redshift", rf"^'?{_TIME}\.\d+'?\s+\[\d+\]\s+"),
     ("syslog2", rf"^<\d+>{_MONTH}"),
     ("syslog", rf"^{_MONTH}"),
 )
@@ -68,21 +69,36 @@ def discover(spark: SparkSession, paths: list[str], recursive: bool = False) ->
     return own.filter(named).distinct().orderBy("modified", "path")
 
 
+def expanded(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[str]:
+    """The paths with each directory replaced by the log files in it, oldest first."""
+    out = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not any(c in p for c in "*?[{") and fs.exists(where) and fs.getFileStatus(where).isDirectory():
+            out += [r["path"] for r in discover(spark, [p], recursive).collect()]
+        else:
+            out.append(p)
+    return out
+
+
 def unpacked_lines(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of whole files (path, content), in blocks; zip: the first member. What has no reader here is an error."""
+    """Lines of whole files (path, content), in blocks; zip: all members, one after another. What has no reader here is an error."""
 
-    def opened(path: str, content: bytes):
+    def opened(path: str, content: bytes) -> list:
         raw = io.BytesIO(content)
-        name = path.lower()
+        if path.lower().endswith(".zip"):
+            import zipfile
+
+            z = zipfile.ZipFile(raw)
+            return [z.open(n) for n in z.namelist() if not n.endswith("/")]
+        return [one(path.lower(), raw)]
+
+    def one(name: str, raw):
         if name.endswith(".xz"):
             import lzma
 
             return lzma.open(raw)
-        if name.endswith(".zip"):
-            import zipfile
-
-            z = zipfile.ZipFile(raw)
-            return z.open(z.namelist()[0])
         if name.endswith((".zst", ".zstd")):
             import zstandard
 
@@ -95,11 +111,13 @@ def unpacked_lines(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in files:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            at, text = 0, io.TextIOWrapper(opened(path, content), encoding="utf-8", errors="replace", newline="\n")
-            while lines := text.readlines(4_000_000):
-                lines = [x.rstrip("\r\n") for x in lines]
-                yield pd.DataFrame({"source_file": path, "block": 0, "id": range(at, at + len(lines)), "text": lines})
-                at += len(lines)
+            at = 0
+            for member in opened(path, content):
+                text = io.TextIOWrapper(member, encoding="utf-8", errors="replace", newline="\n")
+                while lines := text.readlines(4_000_000):
+                    lines = [x.rstrip("\r\n") for x in lines]
+                    yield pd.DataFrame({"source_file": path, "block": 0, "id": range(at, at + len(lines)), "text": lines})
+                    at += len(lines)
 
 
 def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -145,10 +163,12 @@ def numbered_lines(lines: DataFrame, prefix: Prefix | None = None, lenient: bool
     return both.select("source_file", (F.col("lines_before") + F.col("nth")).alias("line_number"), (F.col("heads_before") + F.col("heads")).alias("entry"), "text")
 
 
-def assembled(numbered: DataFrame) -> DataFrame:
-    """source_file, line_number (of the first line), text: the lines of each entry, joined by line breaks."""
+def assembled(numbered: DataFrame, headless: bool = False) -> DataFrame:
+    """source_file, line_number (of the first line), text: the lines of each entry, joined by line breaks. headless: each line before
+    a file's first entry is one of its own, which no header will match."""
     lines = F.array_sort(F.collect_list(F.struct("line_number", "text")))
-    out = numbered.filter("entry > 0").groupBy("source_file", "entry").agg(lines.alias("lines"))
+    own = numbered.withColumn("entry", F.when(F.col("entry") > 0, F.col("entry")).otherwise(-F.col("line_number"))) if headless else numbered.filter("entry > 0")
+    out = own.groupBy("source_file", "entry").agg(lines.alias("lines"))
     return out.select("source_file", F.col("lines")[0]["line_number"].alias("line_number"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
 
 
@@ -246,8 +266,11 @@ def csv_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
     rows = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(paths).select("*", F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("nth"))
     some = lambda c: F.nullif(F.col(c), F.lit(""))
+    # Several files may share a task, and so its row numbers: each file, which is one task's, counts from its own first.
+    first = rows.groupBy(F.col("source_file").alias("sf")).agg(F.min("nth").alias("first"))
+    rows = rows.join(first, F.col("source_file") == F.col("sf"))
     return rows.filter(F.col(CSV_COLUMNS[CSV_LEAST - 1]).isNotNull()).select(
-        "source_file", (F.col("nth").bitwiseAND((1 << 33) - 1) + 1).alias("line_number"), F.lit("csvlog").alias("log_format"), timestamp(F.col("log_time")).alias("timestamp"), X.level(F.coalesce("error_severity", F.lit("LOG"))).alias("log_level"), some("session_id").alias("session_id"),
+        "source_file", (F.col("nth") - F.col("first") + 1).alias("line_number"), F.lit("csvlog").alias("log_format"), timestamp(F.col("log_time")).alias("timestamp"), X.level(F.coalesce("error_severity", F.lit("LOG"))).alias("log_level"), some("session_id").alias("session_id"),
         F.col("process_id").try_cast("int").alias("pid"), some("user_name").alias("user"), some("database_name").alias("database"), some("application_name").alias("application_name"), some("connection_from").alias("remote_host"),
         some("sql_state_code").alias("error_code"), F.coalesce("message", F.lit("")).alias("message"), some("query").alias("query"), F.concat_ws(",", *CSV_COLUMNS).alias("raw_line"), F.lit(True).alias("parse_ok"),
     )
@@ -255,41 +278,76 @@ def csv_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def with_seq(entries: DataFrame, files: list[str] | None = None) -> DataFrame:
     """Adds seq: the order of files (as given, else by name) and of lines within. Files are few, so their ranks are a small table."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     names = entries.select("source_file").distinct()
-    if files:
-        place = F.lit(len(files))
-        for i, f in reversed(list(enumerate(files))):
-            place = F.when(F.col("source_file").endswith(f.rsplit("/", 1)[-1]), i).otherwise(place)
-        names = names.withColumn("place", place)
-    else:
-        names = names.withColumn("place", F.lit(0))
-    ranks = names.select(F.col("source_file").alias("f"), (F.row_number().over(Window.orderBy("place", "source_file")) - 1).alias("nth"))
+    spark = entries.sparkSession
+    whole = [spark._jvm.org.apache.hadoop.fs.Path(f).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(".").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())).toString() if "://" not in f else f for f in files or []]
+    given = spark.createDataFrame(list({f: (f, i) for i, f in reversed(list(enumerate(whole)))}.values()), "given string, place int")
+    placed = names.join(F.broadcast(given), plain(F.col("source_file")) == plain(F.col("given")), "left").withColumn("place", F.coalesce("place", F.lit(len(whole))))
+    ranks = placed.select(F.col("source_file").alias("f"), (F.row_number().over(Window.orderBy("place", "source_file")) - 1).alias("nth"))
     return entries.join(ranks, F.col("source_file") == F.col("f")).withColumn("seq", F.col("nth").cast("long") * (1 << 40) + F.col("line_number")).drop("f", "nth")
 
 
-def read_logs(spark: SparkSession, paths: list[str], log_format: str | None = None, prefix: str | Prefix | None = None, lenient: bool = True, base_year: int | None = None, keep_failed: bool = False) -> DataFrame:
-    """Enriched entries of log files in any of the formats, detected for each file unless one is given.
+def detected_prefixes(numbered: DataFrame, lines: int = 50) -> dict[str, Prefix]:
+    """The files whose lines the built-in header does not fit, but a common prefix does. numbered: of files without another format."""
+    header = re.compile(HEADERS["stderr"][0])
+    some: dict[str, list[str]] = {}
+    for r in numbered.filter((F.col("line_number") <= lines) & (F.trim("text") != "")).select("source_file", "line_number", F.substring("text", 1, 500).alias("text")).orderBy("source_file", "line_number").collect():
+        some.setdefault(r["source_file"], []).append(r["text"])
+    out = {}
+    for file, text in some.items():
+        own = [x for x in text if not x[:1].isspace()]
+        if 2 * sum(header.match(x) is not None for x in own) <= len(own) and (p := detect(own)) is not None:
+            out[file] = p
+    return out
+
+
+def platform(spark: SparkSession, paths: list[str], log_format: str | None = None) -> str | None:
+    """rds, redshift or cloudsql if a file is of that format."""
+    found = [log_format] if log_format else [r["log_format"] for r in detected_formats(numbered_lines(raw_lines(spark, paths))).select("log_format").distinct().collect()]
+    return next((f for f in ("rds", "redshift", "cloudsql") if f in found), None)
+
+
+def read_logs(
+    spark: SparkSession, paths: list[str], log_format: str | None = None, prefix: str | Prefix | None = None, lenient: bool = True, base_year: int | None = None, keep_failed: bool = False, recursive: bool = False,
+    lines: DataFrame | None = None,
+) -> DataFrame:
+    """Enriched entries of log files in any of the formats, detected for each file unless one is given. Directories stand for the log files in them.
 
-    prefix: a log_line_prefix. keep_failed: adds log_format and parse_ok and keeps entries whose header did not match."""
+    prefix: a log_line_prefix; where neither it nor a format is given, files that no header fits are tried with the common
+    prefixes. keep_failed: adds log_format and parse_ok and keeps entries whose header did not match. lines: raw lines from
+    elsewhere (a stream at hand, another host) in place of paths."""
     p = Prefix(prefix) if isinstance(prefix, str) else prefix
-    lines = raw_lines(spark, paths)
+    paths = [] if lines is not None else expanded(spark, paths, recursive)
+    lines = raw_lines(spark, paths) if lines is None else lines
     numbered = numbered_lines(lines, p, lenient)
     if p:
-        ready = with_prefix(assembled(numbered), p)
+        ready = with_prefix(assembled(numbered, keep_failed), p)
     else:
-        formats = {log_format: None} if log_format else {r["log_format"]: None for r in detected_formats(numbered).select("log_format").distinct().collect()} or {"stderr": None}
-        kinds = None if log_format else detected_formats(numbered).select(F.col("source_file").alias("kf"), "log_format")
-        tagged = lambda d: d.withColumn("log_format", F.lit(log_format)) if log_format else d.join(kinds, F.col("source_file") == F.col("kf")).drop("kf")
+        kinds = detected_formats(numbered)
+        if log_format:
+            kinds = kinds.withColumn("log_format", F.lit(log_format))
+        known = {r["source_file"]: r["log_format"] for r in kinds.collect()}  # a row for each file
+        tagged = numbered.join(kinds.select(F.col("source_file").alias("kf"), "log_format"), F.col("source_file") == F.col("kf")).drop("kf")
+        plain = [f for f, k in known.items() if k == "stderr"]
+        own = detected_prefixes(tagged.filter("log_format = 'stderr'")) if plain and not log_format else {}
         parts = []
-        if text := [f for f in formats if f not in ("csvlog", "jsonlog", "cloudsql")]:
-            parts.append(decoded(tagged(assembled(numbered)).filter(F.col("log_format").isin(*text)), base_year))
+        for text in sorted({x.text for x in own.values()}):
+            q = Prefix(text)
+            files = [f for f, x in own.items() if x.text == text]
+            parts.append(with_prefix(assembled(numbered_lines(lines.filter(F.col("source_file").isin(files)), q, lenient), keep_failed), q))
+        formats = {k for f, k in known.items() if f not in own} or {"stderr"}
+        if own:
+            tagged = tagged.filter(~F.col("source_file").isin(list(own)))
+        if text := formats - {"csvlog", "jsonlog", "cloudsql"}:
+            files = assembled(tagged.drop("log_format"), keep_failed).join(kinds.select(F.col("source_file").alias("kf"), "log_format"), F.col("source_file") == F.col("kf")).drop("kf")
+            parts.append(decoded(files.filter(F.col("log_format").isin(*text)), base_year))
         if "jsonlog" in formats:
-            parts.append(json_entries(tagged(numbered).filter("log_format = 'jsonlog'")))
+            parts.append(json_entries(tagged.filter("log_format = 'jsonlog'")))
         if "cloudsql" in formats:
-            parts.append(cloud_entries(tagged(numbered).filter("log_format = 'cloudsql'")))
+            parts.append(cloud_entries(tagged.filter("log_format = 'cloudsql'")))
         if "csvlog" in formats:
-            own = paths if log_format else [r["source_file"] for r in detected_formats(numbered).filter("log_format = 'csvlog'").select("source_file").collect()]
-            parts.append(csv_entries(spark, own))
+            parts.append(csv_entries(spark, [f for f, k in known.items() if k == "csvlog"]))
         ready = parts[0]
         for x in parts[1:]:
             ready = ready.unionByName(x, allowMissingColumns=True)

@@ -34,3 +34,41 @@ def test_other_commands(spark, log, capsys, tmp_path):
     assert cli.main(["analyze", log, "--anonymize", "--output", "jsonl", "--out", str(tmp_path / "j")]) == 0
     with pytest.raises(SystemExit):
         cli.main(["diff", log])
+
+
+def test_a_custom_prefix_is_found(spark, tmp_path, capsys):
+    """Lines that the built-in header does not fit are read by the common prefix that fits them."""
+    from sawmill.sources import logfiles, prefix
+
+    text = prefix.COMMON["debian"] if "%l" in prefix.COMMON["debian"] else next(t for t in prefix.COMMON.values() if "%l" in t)
+    assert text
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("".join(f"2031-11-30 23:59:{i:02d} UTC:10.1.2.{i % 4}(900):kiosk@till:[{i}]:{'ERROR' if i % 5 == 0 else 'LOG'}:  opened {i}\n" for i in range(30)))
+    (folder / "b.log").write_text("".join(f"user=kiosk,db=till,app=pos,client=10.0.0.7 2031-11-30 23:58:{i:02d} UTC [{i}] LOG:  closed {i}\n" for i in range(20)))
+    (folder / "notes.md").write_text("not a log")
+    own = logfiles.read_logs(spark, [str(folder / "a.log")])
+    assert own.filter("database = 'till' and user = 'kiosk'").count() == 30
+    assert cli.main(["analyze", str(folder / "a.log"), "--output", "json", "--out", str(tmp_path / "r.json")]) == 0
+    assert "MANAGED_PLATFORM_DETECTED" in {r["rule_id"] for r in json.loads((tmp_path / "r.json").read_text())["findings"]}
+    assert len(logfiles.expanded(spark, [str(folder)])) == 2
+
+
+def test_state_databases_and_standard_input(spark, log, tmp_path, monkeypatch, capsys):
+    import io
+
+    state = tmp_path / "state.json"
+    argv = ["analyze", log, "--output", "json", "--state", str(state), "--out"]
+    assert cli.main([*argv, str(tmp_path / "one.json")]) == 0 and cli.main([*argv, str(tmp_path / "two.json")]) == 0
+    entries = [json.loads((tmp_path / f).read_text())["throughput"][0]["entries"] for f in ("one.json", "two.json")]
+    assert entries == [30, 0]
+    assert cli.main(["analyze", log, "--by-database", "--output", "json", "--out", str(tmp_path / "d.json")]) == 0
+    assert json.loads((tmp_path / "d-shop.json").read_text())["throughput"][0]["entries"] == 30
+    monkeypatch.setattr("sys.stdin", io.StringIO(LOG))
+    assert cli.main(["summary", "-"]) == 2
+
+
+def test_watch_tails_a_file(spark, log, tmp_path, capsys):
+    assert cli.main(["watch", log, "--checkpoint", str(tmp_path / "c"), "--once", "--from-start", "--slow-ms", "4000"]) == 0
+    out = capsys.readouterr().out
+    assert "slow_query" in out and out.count("slow_query") == 10
