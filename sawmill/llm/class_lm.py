@@ -254,24 +254,35 @@ def assigned(train: DataFrame, words: list[bytes], classes: np.ndarray, pairs: n
 
     def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, of = shared.value
+        index: dict[bytes, int] = {}  # words outside the dictionary, numbered behind it
+        codes: list[np.ndarray] = []
+
+        def flush() -> pd.DataFrame:
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            rare = list(index)
+            word = [known[i] if i < len(known) else rare[i - len(known)] for i in (code // (2 * width)).tolist()]
+            out = pd.DataFrame({"word": word, "at": (code % (2 * width)).astype(np.int16), "n": n.astype(np.int64)})
+            codes.clear()
+            index.clear()
+            return out
+
         for batch in batches:
             s = _sequence(list(batch["units"]), END, np.uint32)
             c = _classed(s, of, k)
             begin = np.concatenate(([0], np.cumsum(batch["n_words"].to_numpy(dtype=np.int64) + 1))) + 1
             at = np.flatnonzero((s >= top) & (s < RARE))
-            ids, place = np.unique(s[at], return_inverse=True)
-            names, index = [known[i] for i in ids.tolist()], {}
-            who, where = [place], [at]
+            who, where = [s[at].astype(np.int64)], [at]
             for b, rare, places in zip(begin[:-1], batch["rare"], batch["places"], strict=True):
-                for w, p in zip(rare, places, strict=True):
-                    p = np.frombuffer(p, dtype=np.int32) + b
-                    who.append(np.full(len(p), index.setdefault(w, len(names) + len(index))))
-                    where.append(p)
-            names += list(index)
+                if len(rare):
+                    ids = [index.setdefault(w, len(known) + len(index)) for w in rare]
+                    who.append(np.repeat(ids, [len(p) // 4 for p in places]))
+                    where.append(np.frombuffer(b"".join(places), dtype=np.int32) + b)
             who, where = np.concatenate(who), np.concatenate(where)
-            code, n = np.unique(np.concatenate((who * 2 * width + c[where - 1], who * 2 * width + width + c[where + 1])), return_counts=True)
-            if len(code):
-                yield pd.DataFrame({"word": [names[i] for i in (code // (2 * width)).tolist()], "at": (code % (2 * width)).astype(np.int16), "n": n.astype(np.int64)})
+            codes += [who * 2 * width + c[where - 1], who * 2 * width + width + c[where + 1]]
+            if len(index) > 400_000 or sum(map(len, codes)) > 4_000_000:
+                yield flush()
+        if codes:
+            yield flush()
 
     # Log probabilities of a context given the word's class: of the class behind it, and of the class before it.
     p = pairs + 0.5

@@ -6,13 +6,14 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sawmill.session import work_folder
+
 #: Words of every contract: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch. Texts may be long, so batches are kept well below Spark's 10,000 rows.
@@ -32,12 +33,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named (tests, local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sawmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The cluster's shared folder; one of our own only on a single machine that names none (tests, local runs)."""
+    return work_folder(spark)
 
 
 #: Spark's setting by which an execution removes its shuffle files when it ends.

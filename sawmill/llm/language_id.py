@@ -8,8 +8,9 @@ from the single best language by adding the language that gains most, as long as
 more than `penalty` * log(words). The largest proportion names the document.
 
 Defined cases: null or letterless text gives `und` with score 0; null labels teach nothing; without any
-label every text is `und`; equal proportions go to the first language in code-point order; texts are read
-whole, in slices of bounded size. Extra columns are ignored.
+label every text is `und`; equal proportions go to the first language in code-point order; repeated rows
+get the same answer each and teach once a row; texts are read whole, in slices of bounded size (a text is never cut).
+Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -55,3 +55,25 @@ def test_bad_trees():
         S.place(F.lit("x"), [])
     with pytest.raises(ValueError):
         S.place(F.lit("x"), [S.Region("r", [S.Rack("k", {0: 0.0})])])
+
+
+def test_placement_by_brute_force(spark):
+    """Each level's draw is worked out here: log(u) / weight, u from the chained 64-bit hash of key and child."""
+    import xxhash
+
+    tree = [S.Region("r0", [S.Rack("a", {0: 1.0, 1: 3.0}), S.Rack("b", {2: 2.0})]), S.Region("r1", [S.Rack("c", {3: 2.0, 4: 0.5})])]
+    hashed = lambda text, seed: xxhash.xxh64_intdigest(text.encode(), seed=seed)
+
+    def winner(key, children):
+        draw = lambda i, w: (math.log((hashed(i, hashed(key, 42)) % (1 << 52) + 0.5) / (1 << 52)) / w, i)
+        return max(draw(i, w) for i, w in children)[1]
+
+    def signed(key):  # the engine's remainder is of the signed value, which differs by a multiple of 2 ** 52
+        region = winner(key, [(g.name, g.weight) for g in tree])
+        racks = next(g for g in tree if g.name == region).racks
+        rack = winner(key, [(k.name, k.weight) for k in racks])
+        return region, rack, int(winner(key, [(f"shard{i}", w) for i, w in next(k for k in racks if k.name == rack).shards.items()])[5:])
+
+    keys = ["", "é", *map(str, range(500))]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", *[c.alias(n) for n, c in S.place(F.col("k"), tree).items()]).collect()
+    assert all((r["region"], r["rack"], r["shard"]) == signed(r["k"]) for r in rows) and len(rows) == len(keys)
