@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, mix, quiet, release, scratch, shingle_hashes, small_batches, table, text_bytes, word_hashes, written
+from .common import discard, mix, quiet, scratch, shingle_hashes, small_batches, table, text_bytes, tidy, word_hashes, written
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -99,10 +99,9 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 out.append((len(s), set_id(s), band_hashes(values, bands, rows)))
             got = pd.DataFrame(out, columns=["n_shingles", "sid", "bands"])
             yield pd.concat([batch.drop(columns=["text"]).reset_index(drop=True), got], axis=1)
-        release()
 
     keyed = own.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
-    return written(keyed.mapInPandas(run, f"doc_id {kind}, k1 long, k2 long, n_shingles long, sid binary, bands array<long>"), "sketches")
+    return written(keyed.mapInPandas(tidy(run), f"doc_id {kind}, k1 long, k2 long, n_shingles long, sid binary, bands array<long>"), "sketches")
 
 
 def full_sets(asked: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int, broadcast_keys: int) -> DataFrame:
@@ -117,7 +116,7 @@ def full_sets(asked: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
             yield pd.DataFrame({"sid": batch["sid"], "s": [shingles(t, width).tobytes() for t in batch["text"]]})
 
     found = texts.join(F.broadcast(keys) if few else keys, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("sid", "text")
-    return written(found.dropDuplicates(["sid"]).mapInPandas(hashed, "sid binary, s binary"), "sets")
+    return written(found.dropDuplicates(["sid"]).mapInPandas(tidy(hashed), "sid binary, s binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -136,7 +135,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.select("a", "b").join(full.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(full.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInPandas(check, "a binary, b binary"), "links")
+    return written(both.mapInPandas(tidy(check), "a binary, b binary"), "links")
 
 
 def block_links(own: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
