@@ -13,7 +13,7 @@ once has one type more, for a word not seen; transitions are smoothed towards th
 
 Scale. Word counts are one shuffle of per-task counts. The `dictionary` most frequent words (not longer
 than 256 bytes) are numbers in the encoded documents and broadcast with their classes and counts: bounded by parameters;
-all further words travel with their places and find class and count by a join. Rounds run over encoded documents written
+all further words find class and count by a join. Rounds run over encoded documents written
 once; what they return to the driver is units x classes counts, whatever the input.
 
 Defined cases: null text is empty and scores its end token; a null doc_id counts as an empty string for the
@@ -73,8 +73,8 @@ def frequent(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]
 
 
 def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """rid, doc_id, held_out, n_words, units (32 bits a word: its place among words, or RARE), rare and places (all other words, and
-    where they stand, 32 bits each); written to the shared folder. docs: doc_id, held_out, text."""
+    """rid, doc_id, held_out, n_words, units (32 bits a word: its place among words, or RARE) and rare (the words that are RARE, in
+    their order); written to the shared folder. docs: doc_id, held_out, text."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -85,14 +85,11 @@ def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
             for text in batch["text"]:
                 w = text.lower().split()
                 u = np.array([get(x, RARE) for x in w], dtype=np.uint32)
-                rare: dict = {}
-                for i in np.flatnonzero(u == RARE).tolist():
-                    rare.setdefault(w[i], []).append(i)
-                out.append((len(w), u.tobytes(), list(rare), [np.array(x, dtype=np.int32).tobytes() for x in rare.values()]))
-            got = pd.DataFrame(out, columns=["n_words", "units", "rare", "places"])
+                out.append((len(w), u.tobytes(), [w[i] for i in np.flatnonzero(u == RARE).tolist()]))
+            got = pd.DataFrame(out, columns=["n_words", "units", "rare"])
             yield pd.concat([batch.drop(columns=["text"]).reset_index(drop=True), got], axis=1)
 
-    rows = docs.select("doc_id", "held_out", "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, n_words int, units binary, rare array<binary>, places array<binary>")
+    rows = docs.select("doc_id", "held_out", "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, n_words int, units binary, rare array<binary>")
     return written(rows.withColumn("rid", F.monotonically_increasing_id()), "units")
 
 
@@ -269,15 +266,9 @@ def assigned(train: DataFrame, words: list[bytes], classes: np.ndarray, pairs: n
         for batch in batches:
             s = _sequence(list(batch["units"]), END, np.uint32)
             c = _classed(s, of, k)
-            begin = np.concatenate(([0], np.cumsum(batch["n_words"].to_numpy(dtype=np.int64) + 1))) + 1
-            at = np.flatnonzero((s >= top) & (s < RARE))
-            who, where = [s[at].astype(np.int64)], [at]
-            for b, rare, places in zip(begin[:-1], batch["rare"], batch["places"], strict=True):
-                if len(rare):
-                    ids = [index.setdefault(w, len(known) + len(index)) for w in rare]
-                    who.append(np.repeat(ids, [len(p) // 4 for p in places]))
-                    where.append(np.frombuffer(b"".join(places), dtype=np.int32) + b)
-            who, where = np.concatenate(who), np.concatenate(where)
+            at, rare_at = np.flatnonzero((s >= top) & (s < RARE)), np.flatnonzero(s == RARE)
+            rare = np.fromiter((index.setdefault(w, len(known) + len(index)) for words in batch["rare"] for w in words), dtype=np.int64, count=len(rare_at))
+            who, where = np.concatenate((s[at].astype(np.int64), rare)), np.concatenate((at, rare_at))
             codes += [who * 2 * width + c[where - 1], who * 2 * width + width + c[where + 1]]
             if len(index) > 400_000 or sum(map(len, codes)) > 4_000_000:
                 yield flush()
@@ -291,25 +282,22 @@ def assigned(train: DataFrame, words: list[bytes], classes: np.ndarray, pairs: n
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, at = np.zeros((len(batch), 2 * width)), batch["seen"]
-            i = np.repeat(np.arange(len(batch)), [len(r) for r in at])
-            j, n = np.array([v["at"] for r in at for v in r], dtype=np.int64), np.array([v["n"] for r in at for v in r], dtype=np.float64)
-            x[i, j] = n
+            x, sizes = np.zeros((len(batch), 2 * width)), [len(r) for r in batch["seen"]]
+            seen = np.concatenate(batch["seen"].to_list())
+            x[np.repeat(np.arange(len(batch)), sizes), seen % 1024] = seen // 1024
             yield pd.DataFrame({"word": batch["word"], "n": x[:, :width].sum(1).astype(np.int64), "class": (x @ order).argmax(1).astype(np.int32)})
 
-    each = train.select("n_words", "units", "rare", "places").mapInPandas(events, "word binary, at short, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
-    seen = each.groupBy("word").agg(F.collect_list(F.struct("at", "n")).alias("seen"))
+    each = train.select("units", "rare").mapInPandas(events, "word binary, at short, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    seen = each.groupBy("word").agg(F.collect_list(F.col("n") * 1024 + F.col("at")).alias("seen"))
     return written(seen.mapInPandas(best, "word binary, n long, class int"), "classes")
 
 
 def tagged(rows: DataFrame, others: DataFrame, classes: np.ndarray, log_counts: np.ndarray, unseen: int) -> DataFrame:
     """rid, doc_id, held_out, n_words, classes (a byte for each word), logs (of counts + 1) and known (words seen in training); written."""
-    rare = rows.select(F.col("rid").alias("r"), F.explode(F.arrays_zip("rare", "places")).alias("x")).select("r", F.col("x.rare").alias("word"), F.col("x.places").alias("places"))
-    found = rare.join(others.withColumnRenamed("class", "c"), "word", "left")
-    times = F.length("places") / 4
+    found = rows.select(F.col("rid").alias("r"), F.posexplode("rare").alias("nth", "word")).join(others.withColumnRenamed("class", "c"), "word", "left")
     # As many entries as the document has words outside the dictionary.
     by_doc = found.groupBy("r").agg(
-        F.collect_list(F.struct(F.coalesce("c", F.lit(unseen)).alias("c"), "places")).alias("of"), F.sum(times * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), times).otherwise(0)).cast("long").alias("more_known")
+        F.collect_list(F.col("nth").cast("long") * 256 + F.coalesce("c", F.lit(unseen))).alias("of"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more"), F.count("n").alias("more_known")
     )
     shared = rows.sparkSession.sparkContext.broadcast((classes.astype(np.uint8), log_counts))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -325,8 +313,7 @@ def tagged(rows: DataFrame, others: DataFrame, classes: np.ndarray, log_counts:
                 c[u != RARE] = of[known]
                 total, seen = float(logs[known].sum()), len(known)
                 if rare is not None and len(rare):
-                    for x in rare:
-                        c[np.frombuffer(x["places"], dtype=np.int32)] = x["c"]
+                    c[np.flatnonzero(u == RARE)[rare // 256]] = rare % 256
                     total, seen = total + more, seen + int(more_known)
                 out.append((c.tobytes(), total, seen))
             yield pd.concat([batch[["rid", "doc_id", "held_out", "n_words"]].reset_index(drop=True), pd.DataFrame(out, columns=["classes", "logs", "known"])], axis=1)
