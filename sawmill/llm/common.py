@@ -19,7 +19,7 @@ from sawmill.session import work_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch. Texts may be long, so batches are kept well below Spark's 10,000 rows.
 BATCH_ROWS = 512
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 MASK = (1 << 64) - 1
 
 

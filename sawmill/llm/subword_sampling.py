@@ -138,8 +138,8 @@ class Lattices:
     #: What is known of a unit, of a state (where its edges begin) and of an edge.
     UNIT = {"base": np.int64, "length": np.int64, "total": np.float64, "only": bool, "low": np.float64, "high": np.float64, "usual_logp": np.float64, "usual_size": np.int8}
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
+    def __init__(self, v: Vocabulary, cached: int | None = None):
+        self.v, self.cached = v, cached
         self.of: dict[str, int] = {}
         self.names: list[str] = []
         self.exactly: dict[str, tuple] = {}
@@ -154,7 +154,8 @@ class Lattices:
 
     def shrink(self) -> None:
         """Keeps the most used units; counts of use are halved."""
-        keep = np.sort(np.argpartition(-self.uses, KEPT_UNITS)[:KEPT_UNITS])
+        kept = KEPT_UNITS if self.cached is None else self.cached // 2
+        keep = np.sort(np.argpartition(-self.uses, kept)[:kept])
         size, base = self.length[keep], self.base[keep]
         states = spread(base, size)
         count = self.edges[states + 1] - self.edges[states]
@@ -366,7 +367,7 @@ class Batch:
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray):
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if len(lattices.names) > CACHED_UNITS:
+        if len(lattices.names) > (CACHED_UNITS if lattices.cached is None else lattices.cached):
             lattices.shrink()
         every = list(itertools.chain.from_iterable(units))
         unit = np.fromiter(map(lattices.of.get, every, itertools.repeat(-1)), dtype=np.int64, count=len(every))
@@ -599,15 +600,16 @@ def row_key(column: str):
     return F.xxhash64(F.lit("row"), F.coalesce(F.col(column).cast("string"), F.lit("\u0000null")))
 
 
-def encode(docs: DataFrame, model: str = MODEL, k: int = 2, alpha: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, rank (from 1), ids, n_pieces, log_prob, gumbel, inclusion: up to k distinct segmentations of each row's text."""
+def encode(docs: DataFrame, model: str = MODEL, k: int = 2, alpha: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", cached: int | None = None) -> DataFrame:
+    """id, rank (from 1), ids, n_pieces, log_prob, gumbel, inclusion: up to k distinct segmentations of each row's text. cached: units whose
+    lattices a worker keeps (CACHED_UNITS if none is given), which decides its memory and time but no result."""
     spark = docs.sparkSession
     small_batches(spark, 256)
     shared = spark.sparkContext.broadcast(Vocabulary(model, alpha))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(shared.value)
+        lattices = Lattices(shared.value, cached)
         salt = np.uint64((seed * 0x2545F4914F6CDD1D + 1) & (1 << 64) - 1)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
