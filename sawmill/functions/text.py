@@ -131,6 +131,12 @@ def ratio(a: Column, b: Column, digits: int | None = None, percent: bool = False
     return out if digits is None else F.bround(out, digits)
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of a double column, the same in any order of rows: six decimals are summed exactly, what a value has beyond them as a double."""
+    part = F.when(x.isNotNull(), F.coalesce(x.try_cast("decimal(28,6)"), F.lit(0).cast("decimal(28,6)")))
+    return F.sum(part).cast("double") + F.sum(x - part.cast("double"))
+
+
 def hour(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:00")
 

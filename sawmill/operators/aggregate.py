@@ -31,7 +31,7 @@ def slow_queries(entries: DataFrame, threshold_ms: float = 1000.0, top: int | No
     p = F.percentile_approx("duration_ms", [0.5, 0.95, 0.99], 10_000) if approximate else F.percentile("duration_ms", quantiles)
     phase = {f"{name}_ms": F.sum(F.when(F.col("phase") == name, F.col("duration_ms"))) for name in ("parse", "bind", "execute")}
     out = rows.groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
+        F.count(F.lit(1)).alias("count"), X.exact_sum(F.col("duration_ms")).alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
         p.alias("p"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.array_sort(F.collect_set("database")).alias("databases"), F.array_sort(F.collect_set("user")).alias("users"),
         F.array_sort(F.collect_set("application_name")).alias("applications"), F.min_by("query_type", "seq").alias("query_type"), F.min_by(F.substring("statement", 1, 2000), F.col("seq")).alias("sample"),
         F.count_if(F.col("message").rlike(P.CANCELLED)).alias("cancellations"), *[c.alias(n) for n, c in phase.items()],

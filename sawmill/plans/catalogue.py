@@ -531,7 +531,7 @@ def diff_metrics(e):
 def _snapshot(e: DataFrame) -> DataFrame:
     """A snapshot made of the log itself: half of its statements, in the snapshot's notation, and one of its own."""
     rows = e.filter(filters.is_slow(SLOW)).withColumn("q", F.regexp_replace(X.fingerprint(F.coalesce("query", "message")), r"\?", r"\$1"))
-    some = rows.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms")).filter(F.col("n") % 2 == 0)
+    some = rows.groupBy("q").agg(F.count(F.lit(1)).alias("n"), X.exact_sum(F.col("duration_ms")).alias("ms")).filter(F.col("n") % 2 == 0)
     own = some.select(F.col("n").alias("queryid"), F.col("q").alias("query"), (F.col("n") * 2).alias("calls"), (F.col("ms") / 2).alias("total_exec_time"))
     one = e.sparkSession.range(1).select(F.lit(-1).cast("long").alias("queryid"), F.lit("VACUUM ANALYZE only_here").alias("query"), F.lit(3).cast("long").alias("calls"), F.lit(9.5).alias("total_exec_time"))
     both = own.unionByName(one)

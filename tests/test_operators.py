@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sawmill.functions import text as X
 from sawmill.operators import aggregate, compare, extract, filters, ordered, snapshot
 from sawmill.operators.enrich import enrich
 
@@ -161,6 +162,21 @@ def test_error_patterns(spark):
     assert got[1]["hourly"] == {1: 1}
 
 
+def test_totals_do_not_hang_on_the_order_of_rows(spark):
+    """Halves of a total lie on ties of two decimals, so the least error of a sum shows after rounding."""
+    rng = random.Random(12)
+    ms = [rng.randrange(100_000, 900_000) for _ in range(3001)]
+    ms[0] += 1 - sum(ms) % 2
+    rows = [(i, 1, "LOG", f"duration: {m // 100}.{m % 100:02d} ms  statement: SELECT {i}") for i, m in enumerate(ms)]
+    for e in (entries(spark, rows), entries(spark, rows[::-1]).repartition(7)):
+        q = aggregate.slow_queries(e, 1000, None)
+        assert q.first()["total_ms"] == sum(ms) / 100
+        assert q.select(F.round(F.col("total_ms") / 2, 2).alias("half")).first()["half"] == (sum(ms) // 2 + 1) / 100
+    odd = spark.createDataFrame([(1, 1e300), (1, 0.25), (2, float("nan")), (3, None), (4, 1e-9), (4, 2e-9)], "k int, x double")
+    got = {r["k"]: r["s"] for r in odd.groupBy("k").agg(X.exact_sum(F.col("x")).alias("s")).collect()}
+    assert got[1] == 1e300 and got[2] != got[2] and got[3] is None and abs(got[4] - 3e-9) < 1e-15
+
+
 def test_diff_and_snapshot(spark):
     q = lambda rows: spark.createDataFrame(rows, "fingerprint string, count long, avg_ms double, p95_ms double, total_ms double")
     d = {r["fingerprint"]: r["status"] for r in compare.diff_queries(q([("a", 1, 1.0, 100.0, 1.0), ("b", 1, 1.0, 100.0, 1.0), ("c", 1, 1.0, 0.0, 1.0), ("gone", 1, 1.0, 1.0, 1.0)]), q([("a", 1, 1.0, 111.0, 1.0), ("b", 1, 1.0, 89.0, 1.0), ("c", 1, 1.0, 50.0, 1.0), ("new", 1, 1.0, 1.0, 1.0)])).collect()}
