@@ -14,8 +14,8 @@ Texts with a shared key are compared with one centre, the least text of the grou
 are verified on the full shingle sequences. A centre may hold less of a passage than two others share, so members of
 a group that no verified span covers get a second centre (of those that share the shingle core / 2 before or behind theirs too,
 which common lines do not), and what is open even then, and has enough shingles that other texts hold, is compared with every
-member of its group on the shingles around its anchors: in groups of up to `large` members as they are (in blocks), in larger
-ones within the subgroups that share far shingles too and hold texts not linked yet. Equal runs of
+member of its group on the shingles around its anchors, in blocks; groups of over `large` members are first taken apart, by the
+rarest shingles of each run, of which any near member holds one. Equal runs of
 t shingles that the spans leave uncovered are found by a hash of the whole run.
 
 Result: spans of words in a text that stand in another text too, by a text of lesser hash: the least of those
@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, mix, quiet, scratch, shingle_hashes, small_batches, table, text_bytes, tidy, word_hashes, written
-from .components import components
 
 WIDTH, MIN_WORDS = 5, 50
 #: Positions of one slice of a text, and the bits they take of a packed hash.
@@ -330,7 +329,8 @@ def compared(own: list[tuple], t: int, need: int, first: list[tuple] | None = No
     """FOUND rows that join members (tid, c, open, at, shingles), or such of first and own, if one of the two is open.
 
     Shingles that several members hold are columns; an open member is tested against all others at once, by gathered columns
-    and sums over runs of t, in both directions. Spans are worked out for what joins members not joined yet."""
+    and sums over runs of t, in both directions. Spans are worked out for what joins members not joined yet, or gives the
+    greater of the two its first span."""
     rows = own if first is None else first + own
     sizes = np.array([len(x[4]) for x in rows])
     longest = int(sizes.max())
@@ -358,19 +358,20 @@ def compared(own: list[tuple], t: int, need: int, first: list[tuple] | None = No
             x = root[x]
         return x
 
-    out = []
+    out, named = [], set()
     for i in np.flatnonzero(open_).tolist():
         others = np.arange(len(rows)) if first is None else (np.arange(n, len(rows)) if i < n else np.arange(n))
         others = others[tids[others] != tids[i]]
         if not len(others):
             continue
         for j in others[near(has[others][:, at[i]]) | near(has[i][at[others]])].tolist():
-            x, y = rows[i], rows[j]
-            if (p := find(x[0])) == (q := find(y[0])):
+            more, less = (i, j) if tids[i] > tids[j] else (j, i)
+            if (p := find(i)) == (q := find(j)) and more in named:
                 continue
-            a, b = (x, y) if x[0] > y[0] else (y, x)
+            a, b = rows[more], rows[less]
             if got := either(a[4], b[4], a[3] - b[3], t, need):
                 root[max(p, q)] = min(p, q)
+                named.add(more)
                 out += [(a[0], b[0], a[1] - a[3] + k, a[1] - a[3] + e + WIDTH - 1, a[1] - b[1]) for k, e in got]
     return out
 
@@ -395,45 +396,92 @@ def by_text(members: DataFrame, full: DataFrame, f, schema: str) -> DataFrame:
     return full.join(some, F.col("tid") == F.col("k")).select("tid", "some", "s").mapInPandas(tidy(run), f"tid long, {schema}")
 
 
-def residue(members: DataFrame, found: DataFrame, full: DataFrame, t: int, need: int, small: int, block: int, large: int) -> DataFrame:
-    """FOUND, for what is open: each open member (key, tid, c, open, n) against all others of its group, by the shingles around their centres.
-
-    Groups of over `large` members (a common phrase, say) are looked at only if they hold texts that found does not link already;
-    they are taken apart by far shingles, and their subgroups are compared under the same condition."""
-    reach = t + WIDTH
-    # Two far matches of any near passage, one on each side of its gap: for 41 of 46 shingles they lie 40 or, if the gap is near an end, 30 apart.
-    wide, short = need - 1, need - 11
-    far = [(a, span - a, e) for span in (wide, short) for a in range(0, span + 1, WIDTH) for e in range(-2, 3)]
-
-    def far_keys(key: int, c: int, is_open: bool, s: np.ndarray) -> list[tuple]:
-        pairs = [(c - a, c + b + e) for a, b, e in far if a <= c and c <= c + b + e < len(s)]
-        if not pairs:
-            return []
-        x, y = np.array(pairs).T
-        with quiet():
-            keys = mix(s[x].astype(np.uint64) * np.uint64(7 << 20 | 1) + s[y].astype(np.uint64) * np.uint64(11 << 20 | 1) + np.uint64(key % (1 << 64))).view(np.int64)
-        return [(k, c, is_open) for k in np.unique(keys).tolist()]
+def around(reach: int):
+    """For by_text: the shingles around a member's centre, and the centre's place among them."""
 
-    def around(key: int, c: int, is_open: bool, s: np.ndarray) -> list[tuple]:
+    def run(key: int, c: int, is_open: bool, s: np.ndarray) -> list[tuple]:
         lo = max(0, c - reach)
         return [(key, c, is_open, c - lo, s[lo : c + reach + 1].tobytes())]
 
-    few = members.filter(F.col("n") <= large).select("key", "tid", "c", "open", "n")
-    finer = members.limit(0).select("key", "tid", "c", "open", "n")
-    most = members.filter(F.col("n") > large)
-    if most.limit(1).count():
-        of = written(components(found.select(F.col("tid").alias("a"), F.col("other").alias("b"))), "linked")
+    return run
+
+
+AROUND = "key long, c int, open boolean, at int, s binary"
+
+
+def rarest(s: np.ndarray, held: dict, t: int, need: int) -> np.ndarray:
+    """The t - need + 1 least held shingles of each run of t, where t - need at most are held by no other member.
+
+    Of any t - need + 1 shingles of a run, a text that has need of its t holds one: no near member is without one of these."""
+    f = np.array([held.get(x, 1) for x in s.tolist()])
+    if len(f) < t:
+        return s[:0]
+    spare = t - need
+    windows = np.lib.stride_tricks.sliding_window_view(f, t)
+    begin = np.flatnonzero((windows == 1).sum(axis=1) <= spare)
+    if not len(begin):
+        return s[:0]
+    least = np.argpartition(windows[begin], spare, axis=1)[:, : spare + 1] + begin[:, None]
+    return np.unique(s[least[f[least] > 1]])
+
 
-        def apart(rows: DataFrame) -> DataFrame:
-            """The rows of groups that have an open member and texts that are not linked."""
-            linked = rows.join(of, F.col("tid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "tid"))
-            groups = linked.groupBy(F.col("key").alias("k")).agg(F.max("open").alias("some"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("some and lo != hi").select("k", "n")
-            return rows.join(groups, F.col("key") == F.col("k")).select("key", "tid", "c", "open", "n")
+def apart(members: DataFrame, full: DataFrame, t: int, need: int) -> tuple[DataFrame, DataFrame]:
+    """(FOUND of members with equal surroundings; members (key, tid, c, open) by finer keys) of groups, with all that compared finds in them.
 
-        finer = written(by_text(apart(most.select("key", "tid", "c", "open")), full, far_keys, "key long, c int, open boolean"), "far")
-        finer = apart(finer)
-    sizes = few.union(finer).groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("o"))
-    local = written(by_text(few.union(finer), full, around, "key long, c int, open boolean, at int, s binary").join(sizes, F.col("key") == F.col("k")).drop("k"), "around")
+    Members that agree in all shingles around their centres are linked with their least, which stands for them. The others meet
+    those with whom they share a shingle that is among the rarest of a run (see rarest) of the one or the other."""
+    local = written(by_text(members, full, around(t + WIDTH), AROUND), "large")
+    least = local.groupBy(F.col("key").alias("k"), F.col("at").alias("p"), F.col("s").alias("z")).agg(F.min(F.struct("tid", "c")).alias("m"), F.max("open").alias("some"))
+    equal = local.filter("open").join(least, (F.col("key") == F.col("k")) & (F.col("at") == F.col("p")) & (F.col("s") == F.col("z"))).filter((F.col("tid") != F.col("m.tid")) & (F.length("s") >= 4 * t))
+    begin = F.col("c") - F.col("at")
+    equal = written(equal.select("tid", F.col("m.tid").alias("other"), begin.alias("start"), (begin + F.length("s") / 4 + WIDTH - 1).cast("int").alias("end"), (F.col("c") - F.col("m.c")).alias("offset")), "equal")
+    own = written(least.select(F.col("k").alias("key"), F.col("m.tid").alias("tid"), F.col("m.c").alias("c"), F.col("some").alias("open"), F.col("z").alias("s")), "variants")
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            each = [np.unique(np.frombuffer(s, dtype=np.int32)) for s in batch["s"]]
+            sizes = [len(x) for x in each]
+            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), sizes), "tid": np.repeat(batch["tid"].to_numpy(), sizes), "c": np.repeat(batch["c"].to_numpy(), sizes), "sh": np.concatenate(each)})
+
+    each = written(own.mapInPandas(tidy(distinct), "key long, tid long, c int, sh int"), "surroundings")
+    counts = each.groupBy(F.col("key").alias("k"), F.col("sh").alias("h")).agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    held = each.join(counts, (F.col("key") == F.col("k")) & (F.col("sh") == F.col("h"))).groupBy(F.col("key").alias("k"), F.col("tid").alias("x"), F.col("c").alias("y")).agg(F.collect_list(F.struct("sh", "f")).alias("held"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, tid, c, is_open, s, held in zip(*(batch[x] for x in ("key", "tid", "c", "open", "s", "held")), strict=True):
+                by = {x["sh"]: x["f"] for x in held}
+                few = set(rarest(np.frombuffer(s, dtype=np.int32), by, t, need).tolist())
+                out += [(key, tid, c, is_open, sh, sh in few) for sh in by]
+            yield pd.DataFrame(out, columns=["key", "tid", "c", "open", "sh", "rare"])
+
+    rows = own.join(held, (F.col("key") == F.col("k")) & (F.col("tid") == F.col("x")) & (F.col("c") == F.col("y"))).select("key", "tid", "c", "open", "s", "held")
+    shares = written(rows.mapInPandas(tidy(run), "key long, tid long, c int, open boolean, sh int, rare boolean"), "shares")
+    discard(local, own, each)
+    groups = shares.groupBy(F.col("key").alias("k"), F.col("sh").alias("h")).agg(
+        F.max(F.col("open") & F.col("rare")).alias("asks"), F.max("open").alias("some"), F.max("rare").alias("asked"), F.min("tid").alias("lo"), F.max("tid").alias("hi")
+    ).filter("some and asked and lo != hi").select("k", "h", "asks")
+    met = shares.join(groups, (F.col("key") == F.col("k")) & (F.col("sh") == F.col("h")))
+    # An open member's own rarest shingles against all that hold them; and every member's rarest ones against the open members that hold them.
+    finer = lambda i: F.xxhash64("key", "sh", F.lit(i)).alias("key")
+    mine = met.filter("asks").select(finer(0), "tid", "c", (F.col("open") & F.col("rare")).alias("open"))
+    theirs = met.filter("open or rare").select(finer(1), "tid", "c", "open")
+    return equal, written(mine.union(theirs), "finer")
+
+
+def residue(members: DataFrame, full: DataFrame, t: int, need: int, small: int, block: int, large: int) -> DataFrame:
+    """FOUND, for what is open: each open member (key, tid, c, open, n) against all others of its group, by the shingles around their centres.
+
+    Groups of over `large` members (a common phrase, say) are taken apart without loss; groups are compared in blocks, whatever their size."""
+    few = members.filter(F.col("n") <= large).select("key", "tid", "c", "open")
+    most = members.filter(F.col("n") > large)
+    equal = None
+    if most.limit(1).count():
+        equal, finer = apart(most.select("key", "tid", "c", "open"), full, t, need)
+        few = few.union(finer)
+    sizes = few.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("o"))
+    local = written(by_text(few, full, around(t + WIDTH), AROUND).join(sizes, F.col("key") == F.col("k")).drop("k"), "around")
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -461,7 +509,8 @@ def residue(members: DataFrame, found: DataFrame, full: DataFrame, t: int, need:
     cut = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("open"), of + rest).otherwise(of) - 1)))
     cut = cut.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), (F.col("own") == F.col("with")).alias("same"), "tid", "c", "open", "at", "s")
     many = cut.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(blocks, FOUND)
-    out = written(found.union(many).distinct(), "residue")
+    found = found.union(many) if equal is None else found.union(many).union(equal)
+    out = written(found.distinct(), "residue")
     discard(local)
     return out
 
@@ -484,7 +533,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         found = written(found.union(verified(now.filter("open and tid != other"), full, t, need)), "found")
         now = still_open(now.select("key", "tid", "c"), found).select("key", "tid", "c", "open")
         now = written(living(written(now, "open"), full, t, need), "alive")
-        found = written(found.union(residue(now, found, full, t, need, small, block, large)).select("tid", "other", "start", "end"), "found")
+        found = written(found.union(residue(now, full, t, need, small, block, large)).select("tid", "other", "start", "end"), "found")
         rest = written(exact_rest(full, keyed, found, t, core), "exact-passages")
         for df in (rows, found, rest):
             keep(df)

@@ -153,6 +153,43 @@ def test_families_of_near_passages(spark, small, block, large):
     assert len(together) >= 0.99 * len(want) and set(a) == set(b)
 
 
+def test_near_passages_behind_a_common_phrase(spark):
+    """Texts that all share one passage, and a phrase too short to be one; by the phrase, near passages of three texts each, of one edit.
+
+    Their cells lie within the phrase, so they meet in groups of all texts only, which are over `large`."""
+    rng = random.Random(21)
+    linked, phrase = prose(rng, 80, "l"), prose(rng, 30, "p")
+    rows = []
+    for k in range(14):
+        left, tail = prose(rng, 20, f"c{k}_"), prose(rng, 3, f"d{k}_")
+        for gap in ([], ["x"], ["y", "z"])[: 2 + k % 2]:
+            rows.append((len(rows), " ".join(linked + prose(rng, 60, f"a{len(rows)}_") + left + gap + tail + phrase + prose(rng, 60, f"b{len(rows)}_"))))
+    out = S.repeats(spark.createDataFrame(rows, "doc_id long, text string"), large=6, small=3, block=4).collect()
+    at = {i: t.split().index(phrase[0]) for i, t in rows}
+    full = {i: S.shingle_hashes(S.word_hashes(t.encode()), 5)[80:] for i, t in rows}
+    near = [(i, j) for i in full for j in full if i < j and (S.agreed(full[i], full[j], 46, 41) or S.agreed(full[j], full[i], 46, 41))]
+    assert len(near) == 7 + 7 * 3
+    of = {i: i for i in full}
+    got = {frozenset((r["doc_id"], r["other_doc_id"])) for r in out if r["start"] <= at[r["doc_id"]] < r["end"]}
+    for _ in of:
+        for p in got:
+            of[min(p)] = of[max(p)] = min(of[x] for x in p)
+    assert got <= {frozenset(p) for p in near} and all(of[i] == of[j] for i, j in near)
+
+
+def test_the_rarest_shingles_meet_every_near_run():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        base = rng.integers(0, 40, 80).astype(np.int32)
+        x, y = base.copy(), base.copy()
+        for own in (x, y):
+            places = rng.integers(0, 80, 4)
+            own[places] = rng.integers(40, 60, 4)
+        held = {int(v): int(rng.integers(2, 50)) for v in np.intersect1d(x, y)}
+        if S.agreed(x, y, 46, 41):
+            assert set(S.rarest(x, held, 46, 41).tolist()) & set(y.tolist())
+
+
 def test_the_stage(spark, rows):
     d = spark.createDataFrame([(i, t, "x", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, w string, n_chars long")
     out = S.without_repeats(d)
